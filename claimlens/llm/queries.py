@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_crf, quality_rules
+from . import line_crf, packing, quality_rules, simhash
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer file lies; the library that knows is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.score(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.rate(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
