@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_crf, packing, quality_rules, simhash
+from . import bpe_count, line_crf, nbest, packing, quality_rules, simhash
 from .common import table
 
 
@@ -31,6 +31,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.nbest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
