@@ -194,6 +194,6 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
             if text.null_count:
                 text = text.fill_null("")
             verdict = next(iter(score([pa.RecordBatch.from_arrays([text, text], ["k", "t"])])))
-            yield batch.filter(verdict.column(6))
+            yield batch.filter(verdict.column("kept"))
 
     return docs.mapInArrow(passed, docs.schema)

@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id").withColumnRenamed("doc_id", key)
 
 
-def keep(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+def keep(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all its columns.
 
     Of rows that repeat this doc_id one stays.  Rows without doc_id can't
