@@ -101,11 +101,11 @@ _UNITS = "|".join([*L.scales, *L.other_units])
     f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9০-৯]+(?:[.,][0-9০-৯]+)?){T.SPACE}*({_UNITS})?', 1)) AS raw,
                       unnest(regexp_extract_all(text, '([0-9০-৯]+(?:[.,][0-9০-৯]+)?){T.SPACE}*({_UNITS})?', 2)) AS unit FROM documents),
     v AS (SELECT doc_id, try_cast(replace(raw, ',', '.') AS DOUBLE) * CASE unit WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 ELSE 1 END AS v FROM p)
-    SELECT doc_id, count(v) AS n_values, round(max(v), 2) AS largest, count_if(abs(v) BETWEEN 1 AND 99999)::BIGINT AS usable FROM v WHERE v IS NOT NULL GROUP BY doc_id"""
+    SELECT doc_id, count(v) AS n_values, round(least(max(v), 1e9), 2) AS largest, count_if(abs(v) BETWEEN 1 AND 99999)::BIGINT AS usable FROM v WHERE v IS NOT NULL GROUP BY doc_id"""
 )
 def scaled_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "documents").select("doc_id", T.scaled_values(F.col("text"), L).alias("v")).filter(F.size("v") > 0)
-    return v.select("doc_id", F.size("v").cast("long").alias("n_values"), F.round(F.array_max("v"), 2).alias("largest"), F.size(filters.usable_numbers(F.col("v"))).cast("long").alias("usable"))
+    return v.select("doc_id", F.size("v").cast("long").alias("n_values"), F.round(F.least(F.array_max("v"), F.lit(1e9)), 2).alias("largest"), F.size(filters.usable_numbers(F.col("v"))).cast("long").alias("usable"))
 
 
 @query(f"SELECT doc_id, {Q.joined(Q.hits('text', L.entities))} AS entities, {Q.joined(Q.hits('text', L.policy))} AS policies, {Q.contains_any('text', L.financial)} AS financial FROM documents")
@@ -199,9 +199,7 @@ def heuristic_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def plan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edits.heuristic_plan(_scored(spark, sf_dir)).withColumn("replacement", F.when(F.col("idx") % 2 == 0, F.lit("about 90 items")).otherwise(F.col("target_span")))
-    n = lambda c: F.size(F.col(c))
-    error = edits.plan_error(F.col("sentence"), F.col("family"), F.col("target_span"), F.col("replacement"), n("entities"), n("policies"), n("dates"), L)
-    return rows.select("doc_id", "idx", "family", error.alias("plan_error"))
+    return edits.check_plans(rows, L).select("doc_id", "idx", "family", "plan_error")
 
 
 # --- edits and verifiers

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
+from .verify import plan_facts
 
 # The edit family of each claim type.
 FAMILY = {"numerical": "numerical_fact", "causal": "causal_inversion", "entity": "entity_replacement", "temporal": "temporal_shift", "policy": "policy_reversal"}
@@ -28,14 +29,13 @@ def heuristic_plan(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"family": family, "target_span": F.coalesce(anchor, F.lit("")), "replacement": F.lit("")})
 
 
-def plan_error(sentence: Column, family: Column, target: Column, replacement: Column, n_entities: Column, n_policies: Column, n_dates: Column, lexicon: Lexicon) -> Column:
+def plan_error(sentence: Column, family: Column, target: Column, replacement: Column, n_entities: Column, n_policies: Column, n_dates: Column, lexicon: Lexicon, facts: dict[str, Column] | None = None) -> Column:
     """The first rule that a plan breaks, null if it is valid."""
     sized = F.size(T.scaled_values(sentence, lexicon)) > 0
     has, given = F.length(T.strip(target)) > 0, F.length(T.strip(replacement)) > 0
-    t_values, r_values = T.scaled_values(target, lexicon), T.scaled_values(replacement, lexicon)
-    counted = given & T.significant_count_change(target, replacement, lexicon)
+    facts = facts or plan_facts(target, replacement, lexicon)
+    t_values, r_values, counted, mismatch = (facts[k] for k in ("t_values", "r_values", "counted", "mismatch"))
     number, policy, entity, temporal, causal = (family == f for f in ("numerical_fact", "policy_reversal", "entity_replacement", "temporal_shift", "causal_inversion"))
-    mismatch = T.unit_mismatch(target, replacement, lexicon)
     words = [w for terms in lexicon.policy_directions.values() for w in terms]
     return F.coalesce(
         F.when(has & ~T.occurs_as_term(sentence, target, lexicon), "target_span_not_in_claim"),
@@ -54,6 +54,15 @@ def plan_error(sentence: Column, family: Column, target: Column, replacement: Co
     )
 
 
+def check_plans(plans: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Adds plan_error to claims with family, target_span and replacement."""
+    found = plan_facts(F.col("target_span"), F.col("replacement"), lexicon)
+    rows = plans.withColumns({f"_{k}": c for k, c in found.items()})
+    sizes = [F.size(F.col(c)) for c in ("entities", "policies", "dates")]
+    error = plan_error(F.col("sentence"), F.col("family"), F.col("target_span"), F.col("replacement"), *sizes, lexicon, {k: F.col(f"_{k}") for k in found})
+    return rows.withColumn("plan_error", error).drop(*(f"_{k}" for k in found))
+
+
 def executable_error(spans: Column, index: Column, target: Column, replacement: Column, entities: Column) -> Column:
     """Why a plan can't be carried out on an article, null if it can."""
     t, r = T.strip(target), T.strip(replacement)

@@ -17,6 +17,28 @@ from ..functions.lexicon import Lexicon
 RESULT = "struct<name:string,score:double,passed:boolean,reason:string,details:string>"
 
 
+def plan_facts(target: Column, replacement: Column, lexicon: Lexicon) -> dict[str, Column]:
+    """What several rules ask about a plan's spans: worth a projection of its own, so that it is computed once."""
+    t, r = T.strip(target), T.strip(replacement)
+    return {
+        "t_values": T.scaled_values(t, lexicon),
+        "r_values": T.scaled_values(r, lexicon),
+        "mismatch": T.unit_mismatch(t, r, lexicon),
+        "counted": (r != "") & T.significant_count_change(t, r, lexicon),
+    }
+
+
+def pair_facts(original: Column, edited: Column, target: Column, replacement: Column, lexicon: Lexicon) -> dict[str, Column]:
+    t, r = T.strip(target), T.strip(replacement)
+    return {
+        **plan_facts(target, replacement, lexicon),
+        "a_values": T.scaled_values(original, lexicon),
+        "b_values": T.scaled_values(edited, lexicon),
+        "there": F.contains(edited, r) | T.occurs_as_term(edited, r, lexicon),
+        "gone": ~F.contains(edited, t) & ~T.occurs_as_term(edited, t, lexicon),
+    }
+
+
 def verdict(name: str, score: Column, passed: Column, reason: Column, details: Column | None = None) -> Column:
     return F.struct(
         F.lit(name).alias("name"), S.rounded(score).alias("score"), passed.alias("passed"), F.when(passed, "passed").otherwise(reason).alias("reason"), (F.lit(None).cast("string") if details is None else details).alias("details")
@@ -56,14 +78,14 @@ def semantic_similarity(a: Column, b: Column, least: float = 0.74) -> Column:
     return verdict("semantic_similarity", near, near >= least, F.lit("semantic_similarity_below_threshold"))
 
 
-def contradiction(edited: Column, family: Column, target: Column, replacement: Column, lexicon: Lexicon, nli: Column, least: float = 0.55) -> Column:
+def contradiction(edited: Column, family: Column, target: Column, replacement: Column, lexicon: Lexicon, nli: Column, least: float = 0.55, facts: dict[str, Column] | None = None) -> Column:
     """Deterministic for numbers, dates and entities that were literally exchanged, else by the model's score."""
     t, r = T.strip(target), T.strip(replacement)
     given = (t != "") & (r != "")
-    there = F.contains(edited, r) | T.occurs_as_term(edited, r, lexicon)
-    gone = ~F.contains(edited, t) & ~T.occurs_as_term(edited, t, lexicon)
-    far = T.significant_scale_change(T.scaled_values(t, lexicon), T.scaled_values(r, lexicon)) | T.significant_count_change(t, r, lexicon)
-    number = (family == "numerical_fact") & T.unit_mismatch(t, r, lexicon).isNull() & far & there & ~F.contains(edited, t)
+    facts = facts or pair_facts(edited, edited, target, replacement, lexicon)
+    there, gone = facts["there"], facts["gone"]
+    far = T.significant_scale_change(facts["t_values"], facts["r_values"]) | facts["counted"]
+    number = (family == "numerical_fact") & facts["mismatch"].isNull() & far & there & ~F.contains(edited, t)
     date = (family == "temporal_shift") & T.is_temporal(t, lexicon) & T.is_temporal(r, lexicon) & there & gone
     entity = (family == "entity_replacement") & there & gone
     rule = F.when(edited == "", None).when(given & number, "deterministic_numeric_scale_contradiction").when(given & date, "deterministic_temporal_shift_contradiction").when(given & entity, "deterministic_entity_contradiction")
@@ -121,14 +143,13 @@ def hallucination(original: Column, edited: Column, family: Column, target: Colu
     return verdict("hallucination", F.greatest(F.lit(0.0), 1.0 - 0.15 * n), n == 0, F.lit("new_facts_outside_target"), F.to_json(items))
 
 
-def intended_change(original: Column, edited: Column, family: Column, target: Column, replacement: Column, lexicon: Lexicon) -> Column:
+def intended_change(original: Column, edited: Column, family: Column, target: Column, replacement: Column, lexicon: Lexicon, facts: dict[str, Column] | None = None) -> Column:
     """Whether the target sentence changed as its family demands."""
     t, r = T.strip(target), T.strip(replacement)
     given = r != ""
-    a, b, w = (T.scaled_values(c, lexicon) for c in (original, edited, r))
-    counted = given & T.significant_count_change(t, r, lexicon)
-    mismatch = T.unit_mismatch(t, r, lexicon)
-    far = F.when(given, T.significant_scale_change(T.scaled_values(t, lexicon), w)).otherwise(T.significant_scale_change(a, b))
+    facts = facts or pair_facts(original, edited, target, replacement, lexicon)
+    a, b, w, counted, mismatch = (facts[k] for k in ("a_values", "b_values", "r_values", "counted", "mismatch"))
+    far = F.when(given, T.significant_scale_change(facts["t_values"], w)).otherwise(T.significant_scale_change(a, b))
     row = lambda score, reason: F.struct(F.lit(score).alias("score"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
     ok = row(1.0, "passed")
     number = (
@@ -141,7 +162,7 @@ def intended_change(original: Column, edited: Column, family: Column, target: Co
     )
     pa, pb = (T.directions(c, lexicon.policy_directions) for c in (original, edited))
     policy = (
-        F.when(given & (F.contains(edited, r) | T.occurs_as_term(edited, r, lexicon)), ok)
+        F.when(given & facts["there"], ok)
         .when((pa != "") & (pb != "") & (pa != pb), ok)
         .when((F.size(a) > 0) & (F.size(b) > 0) & (a != b), row(0.85, "passed"))
         .otherwise(row(0.25, "policy_direction_not_reversed"))
@@ -196,15 +217,18 @@ def verify_pairs(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
     i, f, t, r = (F.col(c) for c in ("idx", "family", "target_span", "replacement"))
     rows = rows.withColumns({"_x": T.target_sentence(F.col("_a"), i), "_y": T.target_sentence(F.col("_b"), i)})
     x, y = F.col("_x"), F.col("_y")
+    found = pair_facts(x, y, t, r, lexicon)
+    rows = rows.withColumns({f"_{k}": c for k, c in found.items()})
+    facts = {k: F.col(f"_{k}") for k in found}
     results = [
-        intended_change(x, y, f, t, r, lexicon),
+        intended_change(x, y, f, t, r, lexicon, facts),
         locality(F.col("_a"), F.col("_b"), i, f, t, r),
         text_artifacts(x, y, F.col("rewritten"), f, lexicon),
-        contradiction(y, f, t, r, lexicon, F.col("nli")),
+        contradiction(y, f, t, r, lexicon, F.col("nli"), facts=facts),
         fluency(F.col("perplexity")),
         style(F.col("text"), F.col("rewritten"), F.col("headline"), lexicon),
         hallucination(outside(F.col("_a"), i), outside(F.col("_b"), i), f, t, r, lexicon),
     ]
     if "vector" in pairs.columns and "rewritten_vector" in pairs.columns:
         results.append(semantic_similarity(F.col("vector"), F.col("rewritten_vector")))
-    return rows.withColumn("report", battery(results)).drop("_a", "_b", "_x", "_y")
+    return rows.withColumn("report", battery(results)).drop("_a", "_b", "_x", "_y", *(f"_{k}" for k in found))

@@ -29,16 +29,14 @@ class Settings:
     most_temperature: float = 0.85
 
 
-def plans(articles: DataFrame, lexicon: Lexicon, planner: Callable[[DataFrame], DataFrame] = edits.heuristic_plan) -> tuple[DataFrame, DataFrame]:
+def plans(articles: DataFrame, lexicon: Lexicon, planner: Callable[[DataFrame], DataFrame] = edits.heuristic_plan, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(planned articles, failures): each article's first claim in rank order whose plan is valid and executable."""
     found = claims.extract(articles, lexicon, "article_id", "text", F.col("headline"))
     scored = claims.ranked(claims.score(found, lexicon), "article_id")
     proposed = planner(scored.drop("headline"))
-    n = lambda c: F.size(F.col(c))
-    error = edits.plan_error(F.col("sentence"), F.col("family"), F.col("target_span"), F.col("replacement"), n("entities"), n("policies"), n("dates"), lexicon)
-    error = F.coalesce(error, F.when(F.length(T.strip(F.col("target_span"))) == 0, "plan_missing_target_span"))
-    checked = proposed.withColumn("plan_error", error)
-    chosen = claims.first_valid(checked, "article_id", "rank", "plan_error")
+    missing = F.when(F.length(T.strip(F.col("target_span"))) == 0, "plan_missing_target_span")
+    checked = edits.check_plans(proposed, lexicon).withColumn("plan_error", F.coalesce("plan_error", missing))
+    chosen = settle(claims.first_valid(settle(checked), "article_id", "rank", "plan_error"))  # read three times
     good = articles.join(chosen.filter("found").select("article_id", "candidate.*"), "article_id")
     planned = dataset.seeds(good.drop("plan_error"), "article_id", 42)
     failed = chosen.filter("NOT found").select("article_id", F.lit("no_valid_plan").alias("reason"), F.col("last_error").alias("error"))
@@ -68,7 +66,7 @@ def run(
     """(samples, failures).  ``settle`` makes a stage durable (by default checkpoint())."""
     settle = settle or (lambda df: df.checkpoint())
     rewriter = rewriter or controlled(lexicon)
-    planned, failures = plans(articles, lexicon, planner)
+    planned, failures = plans(articles, lexicon, planner, settle)
     pending, accepted, last = settle(planned), None, None
     for attempt in range(1, settings.attempts + 1):
         heat = temperature(settings, attempt)
@@ -76,6 +74,7 @@ def run(
         spans = T.sentence_spans(F.coalesce("rewritten", F.lit("")), lexicon)
         judged = edited.withColumn("_y", T.target_sentence(spans, F.col("idx")))
         judged = judged.withColumns({"nli": adapters.contradiction(nli, F.col("sentence"), F.col("_y")), "perplexity": adapters.perplexity(perplexity, F.coalesce("rewritten", F.lit("")))}).drop("_y")
+        judged = settle(judged)  # models run once
         done = settle(verify.verify_pairs(judged, lexicon).withColumns({"attempt": F.lit(attempt), "temperature": F.lit(heat)}))
         ok = done.filter("edit_error IS NULL AND report.passed")
         accepted = ok if accepted is None else accepted.unionByName(ok)
