@@ -188,7 +188,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             table[own] -= after
             table[:, own] -= before
             table[own, own] -= self_n
-            rows, columns = table.sum(1), table.sum(0)
+            rows, columns = table.sum(1) + before, table.sum(0) + after  # as they are once the word is back, wherever it goes
             with_after, with_before = table + after[None, :], table + before[:, None]
             gain = (f(with_after) - f(table)).sum(1) + (f(with_before) - f(table)).sum(0)
             d = np.diagonal(table)

@@ -128,7 +128,7 @@ def _gather(batches, column: int):
             own[0].append(ids[rows])
             own[1].append(flat[begin[rows][:, None] + np.arange(d)])
     for (g, d), (ids, vectors) in held.items():
-        yield g, d, np.concatenate(ids), np.concatenate(vectors).reshape(-1, d)
+        yield g, d, np.concatenate(ids), np.concatenate(vectors)
 
 
 def _trees(batches):
