@@ -10,6 +10,8 @@ import functools
 import re
 
 SPACE = "▁"
+#: Score of what is no piece.
+NONE = float("-inf")
 
 
 class Vocabulary:
@@ -37,6 +39,17 @@ class Vocabulary:
         if model.normalize(" a  bﬁ\t") != f"{SPACE}{SPACE}a{SPACE}{SPACE}bﬁ\t" or not self.cuts_before_spaces:
             raise ValueError("only models without normalisation, whose spaces begin pieces, are supported")
 
+    @functools.cached_property
+    def matcher(self):
+        """Automaton that finds every piece in a text, with (length, score)."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for piece, score in self.score.items():
+            out.add_word(piece, (len(piece), score))
+        out.make_automaton()
+        return out
+
     def runs(self, unit: str) -> list[str]:
         """The unit, cut at pairs of characters that no piece holds."""
         pairs, out, begin = self.pairs, [], 0
