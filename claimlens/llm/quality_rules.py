@@ -12,7 +12,8 @@ range of buckets and its own multinomial; the three per-gram means add up.
 
 Plan: one pass counts per task and sends BUCKETS rows a task into an
 aggregation; the model (a fixed number of floats) goes out with the second
-pass, which scores every document.  Texts are never shuffled.
+pass, which scores every document.  Counting joins texts with the good labels by
+doc_id, which shuffles them where the labels are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ KINDS = 3
 BUCKETS = KINDS << KIND_BITS
 #: A document needs at least this mean log-likelihood ratio.
 THRESHOLD = -0.75
-#: The target is fitted on at most so many labelled documents, those with the smallest hash of doc_id.
-TARGET_DOCS = 20_000
 #: Base rules: least number of words, most percent of words in repeated windows.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
@@ -80,12 +79,12 @@ def _count(batches):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """Log-likelihood ratio of each bucket.
 
-    The raw counts cover every document; the target's cover the good labelled
-    documents, at most TARGET_DOCS.  Without any such document all ratios are 0.
+    The raw counts cover every document; the target's cover all good
+    labelled documents.  Without any such document all ratios are 0.
     """
     small_batches(docs.sparkSession)
-    good = labels.filter("quality = 1").select(F.col(key).alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(TARGET_DOCS)
-    marked = docs.select(F.col(key).alias("_key"), text_of(text).alias("text")).join(F.broadcast(good.withColumn("_target", F.lit(True))), "_key", "left")
+    good = labels.filter("quality = 1").select(F.col(key).alias("_key")).distinct()
+    marked = docs.select(F.col(key).alias("_key"), text_of(text).alias("text")).join(good.withColumn("_target", F.lit(True)), "_key", "left")
     counts = (
         marked.select("text", F.coalesce("_target", F.lit(False)).alias("target"))
         .mapInArrow(_count, "bucket long, raw long, target long")
