@@ -299,8 +299,7 @@ def artifact_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def turn_lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = lambda c: F.substring(c, 1, 1_000_000)
-    return _turns(spark, sf_dir).select("conv_id", "turn", adapters.lexical_similarity(short("before"), short("text")).alias("similarity"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", adapters.lexical_similarity(F.col("before"), F.col("text")).alias("similarity"))
 
 
 @query()
