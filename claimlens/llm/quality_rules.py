@@ -10,10 +10,11 @@ N-grams: words and pairs of adjacent words (words are runs of anything but
 ``\\x20 \\x09-\\x0D``), and byte trigrams of the text.  Each kind has its own
 range of buckets and its own multinomial; the three per-gram means add up.
 
-Plan: one pass counts per task and sends BUCKETS rows a task into an
-aggregation; the model (a fixed number of floats) goes out with the second
-pass, which scores every document.  Counting joins texts with the good labels by
-doc_id, which shuffles them where the labels are too many to broadcast.
+Plan: counting goes over the texts once for the raw counts, and once, dealt by
+doc_id to their labels, for the target's; each pass sends BUCKETS rows a task
+into an aggregation.  The model (a fixed number of floats) goes out with the
+last pass, which scores every document.  Labels grow with the corpus, so they
+are never broadcast: the join is by hash on both sides, at every size.
 """
 
 from __future__ import annotations
@@ -61,39 +62,37 @@ def _grams(scan: Scan, words: np.ndarray):
 
 
 def _count(batches):
-    """Per task: each bucket's count in all texts and in the target's."""
-    total = np.zeros((2, BUCKETS), np.int64)
+    """Per task: each bucket's count in its texts."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         texts = [t.encode() for t in batch.column(0).to_pylist()]
-        target = np.array(batch.column(1).to_pylist(), bool)
         for a, b in slices([len(t) for t in texts]):
-            scan, of_target = Scan(texts[a:b]), target[a:b]
-            for bucket, doc in _grams(scan, scan.hashes(scan.word_start, scan.word_end)):
-                total[0] += np.bincount(bucket, minlength=BUCKETS)
-                if of_target.any():
-                    total[1] += np.bincount(bucket[of_target[doc]], minlength=BUCKETS)
-    at = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
+            scan = Scan(texts[a:b])
+            for bucket, _ in _grams(scan, scan.hashes(scan.word_start, scan.word_end)):
+                total += np.bincount(bucket, minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    counts = texts.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS)
+    out[counts["bucket"]] = counts["n"]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """Log-likelihood ratio of each bucket.
 
     The raw counts cover every document; the target's cover all good
-    labelled documents.  Without any such document all ratios are 0.
+    labelled documents: every row whose key any label row calls good.  Without
+    any such document all ratios are 0.  Null keys and null labels are no
+    labels; empty tables give ratios 0.
     """
     small_batches(docs.sparkSession)
-    good = labels.filter("quality = 1").select(F.col(key).alias("_key")).distinct()
-    marked = docs.select(F.col(key).alias("_key"), text_of(text).alias("text")).join(good.withColumn("_target", F.lit(True)), "_key", "left")
-    counts = (
-        marked.select("text", F.coalesce("_target", F.lit(False)).alias("target"))
-        .mapInArrow(_count, "bucket long, raw long, target long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-        .toPandas()  # BUCKETS rows at most
-    )
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
+    good = labels.filter("quality = 1").select(F.col(key).alias("_key")).filter("_key IS NOT NULL").distinct()
+    texts = docs.select(F.col(key).alias("_key"), text_of(text).alias("text"))
+    raw, target = _counts(texts), _counts(texts.join(good.hint("shuffle_hash"), "_key", "left_semi"))
     out = np.zeros(BUCKETS)
     for k in range(KINDS):
         own = slice(k << KIND_BITS, (k + 1) << KIND_BITS)
