@@ -11,9 +11,12 @@ import functools
 
 import numpy as np
 
-#: An odd multiplier of the rolling hash modulo 2**64 and its inverse.
+#: A range's hash is two polynomials of its bytes, modulo these primes, at these points.
+PRIMES, POINTS = (2_147_483_647, 2_147_483_629), (1_402_946_773, 827_364_911)
+#: An odd multiplier that combines hashes.
 PRIME = 0x9E3779B97F4A7C55
-INVERSE = pow(PRIME, -1, 1 << 64)
+#: Prefix sums of products stay under 2**64 for so many bytes.
+SUM_BYTES = 1 << 23
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -21,20 +24,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@functools.lru_cache(1)
-def _power_table(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for base in (PRIME, INVERSE):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
+@functools.lru_cache(2)
+def _power_table(k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    p, out = PRIMES[k], []
+    for base in (POINTS[k], pow(POINTS[k], -1, p)):
+        t = np.ones(1 << bits, np.uint32)
+        for b in range(bits):
+            step = np.uint64(pow(base, 1 << b, p))
+            t[1 << b : 2 << b] = t[: 1 << b].astype(np.uint64) * step % np.uint64(p)
+        out.append(t)
     return out[0], out[1]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the multiplier and of its inverse."""
-    return _power_table(max(16, int(n).bit_length()))
+def powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the k-th point and of its inverse, modulo the k-th prime."""
+    return _power_table(k, max(16, int(n).bit_length()))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,13 +72,48 @@ class Scan:
         self.word_doc = np.searchsorted(self.doc_end, self.word_start, "right")
         self._sums = None
 
+    def _prefix_sums(self, k: int) -> np.ndarray:
+        power, p = powers(k, len(self.buf) + 1)[0], np.uint64(PRIMES[k])
+        out, carry = np.zeros(len(self.buf) + 1, np.uint64), np.uint64(0)
+        for a in range(0, len(self.buf), SUM_BYTES):
+            some = slice(a, min(a + SUM_BYTES, len(self.buf)))
+            own = out[a + 1 : some.stop + 1]
+            np.cumsum((self.buf[some].astype(np.uint64) + np.uint64(1)) * power[some], out=own)
+            own += carry
+            carry = own[-1] % p
+        return out
+
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mixed 64-bit hashes of the byte ranges; equal bytes, equal hash."""
-        power, inverse = powers(len(self.buf) + 1)
+        """Mixed 62-bit hashes of the byte ranges; equal bytes, equal hash.
+
+        Different bytes may, if hardly ever, have equal hashes; ``differ`` tells.
+        """
         if self._sums is None:
-            self._sums = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[: len(self.buf)], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * inverse[start])
+            self._sums = [self._prefix_sums(k) for k in range(2)]
+        h = []
+        for k, sums in enumerate(self._sums):
+            p = np.uint64(PRIMES[k])
+            inverse = powers(k, len(self.buf) + 1)[1]
+            h.append((sums[end] % p + p - sums[start] % p) * inverse[start] % p)
+        return mix(h[0] << np.uint64(31) | h[1])
+
+    def differ(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each of the ranges a differ from those of its range b."""
+        size = a_end - a
+        out = size != b_end - b
+        rows = np.flatnonzero(~out & (size > 0))
+        total = np.cumsum(size[rows])
+        begin = 0
+        while begin < len(rows):
+            done = int(total[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(total, done + SUM_BYTES, "right")))
+            own = rows[begin:stop]
+            row = np.repeat(np.arange(len(own)), size[own])
+            at = np.arange(len(row)) - (np.cumsum(size[own]) - size[own])[row]
+            other = self.buf[a[own][row] + at] != self.buf[b[own][row] + at]
+            out[own[row[other]]] = True
+            begin = stop
+        return out
 
     def per_doc(self, doc: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(doc, weights, self.n)

@@ -15,10 +15,14 @@ doc_id to their labels, for the target's; each pass sends BUCKETS rows a task
 into an aggregation.  The model (a fixed number of floats) goes out with the
 last pass, which scores every document.  Labels grow with the corpus, so they
 are never broadcast: the join is by hash on both sides, at every size.
+
+Repeated lines and windows are found by hashes and confirmed by their bytes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,26 +119,45 @@ def _rules(scan: Scan, words: np.ndarray) -> dict[str, np.ndarray]:
     start, end, doc = scan.lines()
     has_word = scan.count(~scan.space, start, end) > 0
     start, end, doc = start[has_word], end[has_word], doc[has_word]
-    out["n_dup_lines"] = scan.per_doc(doc[_later(mix(scan.hashes(start, end) + doc.astype(np.uint64)))])
+    later, before = _later(mix(scan.hashes(start, end) + doc.astype(np.uint64)))
+    out["n_dup_lines"] = scan.per_doc(doc[later])
+    unsure = doc[later[(doc[later] != doc[before]) | scan.differ(start[later], end[later], start[before], end[before])]]
     n = max(0, len(words) - 2)
     window = words[:n] * np.uint64(5) + mix(words[1 : n + 1] * np.uint64(3) + mix(words[2 : n + 2]))
     at = np.flatnonzero(scan.word_doc[:n] == scan.word_doc[2 : n + 2])
-    key = mix(window[at] + scan.word_doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    later, before = _later(mix(window[at] + scan.word_doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    later, before = at[later], at[before]
+    twice = np.zeros(n, bool)
+    twice[later] = twice[before] = True
+    wrong = scan.word_doc[later] != scan.word_doc[before]
+    for k in range(3):
+        x, y = later + k, before + k
+        wrong |= scan.differ(scan.word_start[x], scan.word_end[x], scan.word_start[y], scan.word_end[y])
+    unsure = np.unique(np.concatenate([unsure, scan.word_doc[later[wrong]]]))
     cover = np.zeros(len(words) + 3, np.int32)
-    np.add.at(cover, at[twice], 1)
-    np.add.at(cover, at[twice] + 3, -1)
+    np.add.at(cover, np.flatnonzero(twice), 1)
+    np.add.at(cover, np.flatnonzero(twice) + 3, -1)
     out["n_repeat_words"] = scan.per_doc(scan.word_doc[np.cumsum(cover)[: len(words)] > 0])
+    for d in unsure.tolist():  # two hashes were equal by chance
+        out["n_dup_lines"][d], out["n_repeat_words"][d] = _plain_repeats(scan.buf[scan.doc_start[d] : scan.doc_end[d]].tobytes())
     return out
 
 
-def _later(key: np.ndarray) -> np.ndarray:
-    """Positions whose key an earlier position has too."""
+def _plain_repeats(text: bytes) -> tuple[int, int]:
+    """n_dup_lines and n_repeat_words of one text, by the bytes themselves."""
+    lines = [x for x in text.split(b"\n") if x.split()]
+    words = text.split()
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    count = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if count[w] > 1 for j in (i, i + 1, i + 2)}
+    return len(lines) - len(set(lines)), len(covered)
+
+
+def _later(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose key an earlier position has too, and the last such position of each."""
     order = np.argsort(key, kind="stable")
-    return order[1:][key[order][1:] == key[order][:-1]]
+    same = key[order][1:] == key[order][:-1]
+    return order[1:][same], order[:-1][same]
 
 
 def _scorer(ratio: np.ndarray, threshold: float):
