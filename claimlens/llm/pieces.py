@@ -41,12 +41,12 @@ class Vocabulary:
 
     @functools.cached_property
     def matcher(self):
-        """Automaton that finds every piece in a text, with (length, score)."""
+        """Automaton that finds every piece in a text, with (length, score, id)."""
         import ahocorasick
 
         out = ahocorasick.Automaton()
         for piece, score in self.score.items():
-            out.add_word(piece, (len(piece), score))
+            out.add_word(piece, (len(piece), score, self.ids[piece]))
         out.make_automaton()
         return out
 

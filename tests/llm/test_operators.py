@@ -193,7 +193,7 @@ def test_nbest(odd, none):
         want = [-s for s, _, _ in _all_segmentations("▁" + t.replace(" ", "▁"), vocab)[:4]]
         scores, raw = encoder.encode(t)
         assert [s for s, _ in scores] == want
-        assert nbest.decode(np.frombuffer(raw, np.uint16).tolist(), vocab) == t
+        assert nbest.decode(np.frombuffer(raw, np.uint32).tolist(), vocab) == t
     rows = nbest.nbest(odd, path).collect()
     assert len(rows) == len(ODD) and all(r.decodes for r in rows)
     assert all(r.scores == sorted(r.scores, reverse=True) for r in rows)
