@@ -24,6 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,6 +276,13 @@ def components(links: DataFrame) -> DataFrame:
         edges = stage_table(small, "simhash-links")
 
 
+def _roots(distinct: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """(v, m): every fingerprint that isn't its component's smallest, and that smallest.  distinct: one column fp, written before."""
+    total = distinct.count()
+    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    return components(find_links(distinct, plan(sample, total, distance), distance, bucket))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row.
 
@@ -286,22 +294,55 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """
     prints = fingerprint_table(docs, text, key, shingle)
     classes = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    total = classes.count()
-    sample = np.array([r.fp for r in classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-    roots = components(find_links(classes.select("fp"), plan(sample, total, distance), distance, bucket))
+    roots = _roots(classes.select("fp"), distance, bucket)
     rooted = classes.join(roots.select(F.col("v").alias("fp"), "m"), "fp", "left").select("fp", "first", F.coalesce("m", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id").withColumnRenamed("doc_id", key)
 
 
-def keep(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns.
+def one_of_each(rows: DataFrame, classes: DataFrame, roots: DataFrame, names: list[str], key: str) -> DataFrame:
+    """Of each component one row, one with its smallest key; and all rows without key, for they can't stand for a component.
 
-    Of rows that repeat this doc_id one stays.  Rows without doc_id can't
-    stand for a component and all stay.
+    rows: with their number ``_row``; classes: (v, best), best the (id, row) of
+    the smallest key; roots: (v, m).  Texts are dealt once, by row number.
     """
-    found = near_duplicates(docs, shingle=shingle, distance=distance)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    chosen = classes.join(roots, "v", "left").groupBy(F.coalesce("m", "v").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
+    kept = rows.join(chosen.filter("_row IS NOT NULL").hint("shuffle_hash"), "_row", "left_semi")
+    return kept.select(names).unionByName(rows.filter(F.col(key).isNull()).select(names))
+
+
+def best_row(key: str):
+    """(id, row) of the smallest key, as an aggregate."""
+    return F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("id"), F.col("_row").alias("row"))))
+
+
+def keep(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, ratio: tuple[int, int] | None = None) -> DataFrame:
+    """One document of each component, one with the smallest key, with all its columns.
+
+    Texts are linked by fingerprints within the distance or, if a ratio is
+    given, by shingle sets of at least that Jaccard similarity (``overlap``);
+    64 bits can't tell 0.8 from less.  Rows without key all stay.  Null and
+    empty texts are copies of each other.  Rows that repeat are copies; texts
+    that differ are told apart even where they share a key.  An empty table
+    gives an empty table.
+    """
+    if ratio is not None:
+        from . import overlap
+
+        return overlap.keep(docs, text, key, shingle, ratio)
+    small_batches(docs.sparkSession)
+    columns = len(docs.columns)
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            got = fingerprints([t.encode() for t in batch.column(columns).to_pylist()], shingle)
+            own = [batch.column(k) for k in range(columns)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(number, number + len(got))), pa.array(got.view(np.int64))], [*batch.schema.names[:columns], "_row", "_fp"])
+            number += len(got)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = stage_table(docs.withColumn("_shingled", text_of(text)).mapInArrow(run, f"{schema}, _row long, _fp long"), "simhash-rows")
+    classes = stage_table(rows.groupBy(F.col("_fp").alias("v")).agg(best_row(key).alias("best")), "simhash-classes")
+    return one_of_each(rows, classes, _roots(classes.select(F.col("v").alias("fp")), distance, BUCKET), docs.columns, key)

@@ -1,9 +1,11 @@
 """The pipeline's stages against the operators' own verdicts on whole tables."""
 
 import corpus_pipeline as cp
-from claimlens.llm import line_crf, packing, quality_rules, simhash
+from claimlens.llm import line_crf, packing, quality_rules
 from claimlens.llm.queries import tokenizer_path
 
+from .test_overlap import _survivors
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -22,8 +24,7 @@ def test_stages_follow_verdicts(spark):
     assert better.columns == docs.columns and ids(better) == ids(scored)
     assert good & long_enough <= set(ids(better))
     single = cp.drop_near_duplicates(spark, better, SF)
-    groups = simhash.near_duplicates(better, shingle=cp.SHINGLE, distance=cp.DISTANCE)
-    assert single.columns == docs.columns and ids(single) == sorted({r.component_id for r in groups.collect()})
+    assert single.columns == docs.columns and ids(single) == _survivors([(r.doc_id, r.text, "x", 0) for r in better.collect()])  # five words, 0.8
     packed = cp.pack_sequences(spark, single, SF)
     whole = packing.pack(single, tokenizer_path("byte_bpe_50k.json"))
     assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, whole.collect()))
