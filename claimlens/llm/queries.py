@@ -96,6 +96,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT min(license_id) AS license_id, sha256({_canonical_sql("text")}) AS digest
             FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.KNOWN)}) AS t(license_id, text)
             GROUP BY 2
+            UNION ALL
+            FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.DIGESTS.items())}) AS t(license_id, digest)
         ), named AS (
             SELECT {_canonical_sql("text")} AS form, license
             FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.NOTICES.items())}) AS t(text, license)
