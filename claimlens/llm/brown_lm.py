@@ -1,18 +1,23 @@
 """Language-model scoring: Brown class-based bigrams.
 
-Words are put into classes by the exchange algorithm: the most frequent words
-(CORE of them) one by one on the driver, on their bigram counts, which are
-bounded in size; every other word of the corpus in one distributed step, where
-it goes to the class whose neighbours fit its own counted neighbours best.
-Infrequent words have twins of the core's classes for themselves.  A text's
-probability is the product of class transitions and of words given classes,
-both smoothed with what held-in documents leave over.
+Words are put into classes by the exchange algorithm, in three steps.  The SEEDS
+most frequent words are exchanged one by one on the driver, on their bigram
+counts, until none moves.  Then, in sweeps over the corpus, each of the CORE most
+frequent words is counted with its neighbours' classes and moves to the class
+with the highest likelihood, its own counts being taken out of the class that it
+is in; all words of a sweep move at once (distributed exchange).  At last every
+other word of the corpus moves in the same way, by its neighbours among the
+core.  Those infrequent words have twins of the core's classes for themselves.
+A text's probability is the product of class transitions and of words given
+classes, both smoothed with what held-in documents leave over.
 
 Plan.  One pass cuts the documents into chunks: token numbers, and the chunk's
-own dictionary of word hashes with their counts.  Dictionary rows, one a word
-and chunk and not one a token, are dealt by word, summed and classified, and
-dealt back to their chunks, where all tokens are looked up in plain arrays.
-Words are told apart by a 64-bit hash.
+own dictionary of word hashes with their counts.  Core words' counts and classes
+are of a fixed size and go out with the code.  Only the other words' dictionary
+rows, one a word and chunk, are dealt by word, classified, and dealt back to
+their chunks; a word that isn't in the core has few rows.  Tasks of both steps
+hold a bounded number of rows, whatever the input's size.  Words are told apart
+by a 62-bit hash.
 """
 
 from __future__ import annotations
@@ -28,9 +33,15 @@ from pyspark.sql import functions as F
 from .bytescan import Scan
 from .common import fold, slices, small_batches, stage_table, text_of
 
-CORE, CLASSES, SWEEPS = 512, 48, 8
+SEEDS, CLASSES, SWEEPS = 512, 48, 8
+#: Words that take part in every sweep over the corpus; a fixed size, for their context counts meet on the driver.
+CORE, CORPUS_SWEEPS = 1 << 16, 3
+#: Core words whose context counts travel together.
+RANGE = 1 << 10
+#: Dictionary rows that a task gets, on average.
+TASK_ROWS = 400_000
 FOLDS, HELD_OUT = 7, 2
-#: Tokens after which a chunk ends (with the batch at hand).
+#: Tokens after which a chunk ends (with the texts at hand, about a megabyte or one long text).
 CHUNK_TOKENS = 2_000_000
 #: The end token's place among words; no word is likely to have this hash.
 END_HASH = np.uint64(0x454E44)
@@ -80,9 +91,10 @@ def _encode(kind):
             if not batch.num_rows:
                 continue
             texts = [t.encode() for t in batch.column(1).to_pylist()]
-            keys.append(batch.column(0))
-            held.append(np.array(batch.column(2).to_pylist(), bool))
+            is_held = np.array(batch.column(2).to_pylist(), bool)
             for a, b in slices([len(t) for t in texts]):
+                keys.append(batch.column(0).slice(a, b - a))
+                held.append(is_held[a:b])
                 scan = Scan(texts[a:b], lower=True)
                 n = scan.per_doc(scan.word_doc) + 1
                 h = np.full(int(n.sum()), END_HASH)
@@ -92,8 +104,8 @@ def _encode(kind):
                 sizes.append(n)
                 hashes.append(h)
                 total += len(h)
-            if total >= CHUNK_TOKENS:
-                yield chunk()
+                if total >= CHUNK_TOKENS:
+                    yield chunk()
         if hashes:
             yield chunk()
 
@@ -144,8 +156,8 @@ def _core_of(core: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(core[at] == words, at, -1)
 
 
-def _core_bigrams(core: np.ndarray):
-    """Counts of adjacent pairs of core words and ends; the end precedes a text's first word."""
+def _seed_bigrams(core: np.ndarray):
+    """Counts of adjacent pairs of these words and ends; the end precedes a text's first word."""
 
     def run(batches):
         side = len(core) + 1
@@ -208,36 +220,113 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of[:n]
 
 
+WIDTH = 2 * (CLASSES + 1)
+
+
+def _neighbours(c: _Chunk, core: np.ndarray, core_class: np.ndarray):
+    """Place of each word of the chunk in the core, and of each token the classes at its left and right (-1: none yet)."""
+    place = _core_of(core, c.words).astype(np.int32)
+    known = np.where(place >= 0, core_class[place] if len(core) else -1, -1).astype(np.int8)
+    known[c.words == END_HASH] = CLASSES
+    ends = np.array([CLASSES], np.int8)
+    now = np.concatenate([ends, known[c.tokens], ends])
+    return place, now[:-2], now[2:]
+
+
+def _core_contexts(core: np.ndarray, core_class: np.ndarray):
+    """Per task: RANGE core words' counts of neighbouring classes, left ones first, packed."""
+
+    def run(batches):
+        total = np.zeros(-(-len(core) // RANGE) * RANGE * WIDTH, np.int32)  # a task has fewer tokens than that holds
+        for batch in batches:
+            for c in _chunks(batch):
+                place, left, right = _neighbours(c, core, core_class)
+                own = c.held_in()
+                for begin in range(0, len(c.tokens), 1 << 18):
+                    some = slice(begin, begin + (1 << 18))
+                    at = place[c.tokens[some]]
+                    for side, other in enumerate((left[some], right[some])):
+                        ok = own[some] & (at >= 0) & (other >= 0)
+                        np.add.at(total, at[ok] * np.int64(WIDTH) + (side * (CLASSES + 1) + other[ok]), 1)
+        for k, part in enumerate(total.reshape(-1, RANGE * WIDTH)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(part.astype(np.int64))])], ["part", "counts"])
+
+    return run
+
+
+def _sum_contexts(batches):
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            own = _unpack(raw, np.int64, RANGE * WIDTH)
+            held[k] = held[k] + own if k in held else own
+    for k, own in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(own)])], ["part", "counts"])
+
+
+def class_table(contexts: np.ndarray, core_class: np.ndarray) -> np.ndarray:
+    """Counts of adjacent classes, the end's class last, from the core words' neighbours; half a count more each."""
+    side = CLASSES + 1
+    table = np.full((side, side), 0.5)
+    some = core_class >= 0
+    np.add.at(table.T, core_class[some], contexts[some, :side])  # what stands before each class
+    table[CLASSES, CLASSES] += 1
+    np.add.at(table[:, CLASSES], core_class[some], contexts[some, side + CLASSES])  # and ends after it
+    return table
+
+
+def fit_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a word's neighbour counts (left, right), what each adds to the likelihood in each class; and the classes' sizes."""
+    size = table.sum(1)[:CLASSES]
+    return np.concatenate([np.log(table[:, :CLASSES] / size), np.log(table[:CLASSES].T / size)]), size
+
+
+def move_all(contexts: np.ndarray, core_class: np.ndarray) -> np.ndarray:
+    """Every core word's best class, all at once.  A word's own counts are taken out of its class when it is weighed against the others."""
+    table = class_table(contexts, core_class)
+    fit, size = fit_of(table)
+    gain = contexts @ fit
+    some = np.flatnonzero(core_class >= 0)
+    of, own = core_class[some], contexts[some].astype(float)
+    side = CLASSES + 1
+    n = own[:, :side].sum(1)
+    rest = np.maximum(size[of] - n, 0.5)[:, None]
+    left = np.log(np.maximum(table[:, of].T - own[:, :side], 0.5) / rest)
+    right = np.log(np.maximum(table[of] - own[:, side:], 0.5) / rest)
+    gain[some, of] = (own * np.concatenate([left, right], 1)).sum(1)
+    gain += np.log(size) * 1e-6  # ties, and words without neighbours
+    return np.argmax(gain, 1)
+
+
 def _contexts(core: np.ndarray, core_class: np.ndarray):
-    """A row for each word of each chunk: hash, count, chunk, place, packed counts of neighbouring classes.
+    """A row for each word of each chunk that isn't in the core: hash, count, chunk, place, packed counts of neighbouring classes.
 
     A packed count is class << 24 | count; classes of the left neighbour come
     first, then those of the right one.
     """
 
     def run(batches):
-        sides = CLASSES + 1
         for batch in batches:
             for c in _chunks(batch):
-                place = _core_of(core, c.words)
-                known = np.where(place >= 0, core_class[place] if len(core) else -1, -1)
-                known[c.words == END_HASH] = CLASSES
-                now = known[c.tokens]
-                rare = (now < 0) & c.held_in()
+                place, left, right = _neighbours(c, core, core_class)
+                rare = (place < 0) & (c.words != END_HASH)
+                own = rare[c.tokens] & c.held_in()
                 keys = []
-                for side, other in enumerate((np.concatenate([[CLASSES], now[:-1]]), np.concatenate([now[1:], [CLASSES]]))):
-                    ok = rare & (other >= 0)
-                    keys.append(c.tokens[ok].astype(np.int64) * (2 * sides) + side * sides + other[ok])
+                for side, other in enumerate((left, right)):
+                    ok = own & (other >= 0)
+                    keys.append(c.tokens[ok].astype(np.int64) * WIDTH + (side * (CLASSES + 1) + other[ok]))
                 key, n = np.unique(np.concatenate(keys), return_counts=True)
-                offsets = 4 * np.searchsorted(key, np.arange(len(c.words) + 1) * (2 * sides))
-                data = ((key % (2 * sides)) << 24 | np.minimum(n, 0xFFFFFF)).astype("<u4")
-                near = pa.Array.from_buffers(pa.binary(), len(c.words), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+                at = np.flatnonzero(rare)
+                offsets = 4 * np.concatenate([np.searchsorted(key, at * WIDTH), [len(key)]])  # words of the core have no keys
+                data = ((key % WIDTH) << 24 | np.minimum(n, 0xFFFFFF)).astype("<u4")
+                near = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(c.words.view(np.int64)),
-                        pa.array(c.counts.astype(np.int64)),
-                        pa.array(np.full(len(c.words), c.id)),
-                        pa.array(np.arange(len(c.words), dtype=np.int32)),
+                        pa.array(c.words[at].view(np.int64)),
+                        pa.array(c.counts[at].astype(np.int64)),
+                        pa.array(np.full(len(at), c.id)),
+                        pa.array(at.astype(np.int32)),
                         near,
                     ],
                     ["word", "n", "chunk", "place", "near"],
@@ -246,7 +335,7 @@ def _contexts(core: np.ndarray, core_class: np.ndarray):
     return run
 
 
-def _classify(core: np.ndarray, core_class: np.ndarray, fit: np.ndarray, prior: np.ndarray, block: int = 16_384):
+def _classify(fit: np.ndarray, prior: np.ndarray, block: int = 16_384):
     """Over rows dealt by word: chunk, place, the word's count in the corpus, its class, and whether this row stands for the word when words are counted."""
 
     def run(batches):
@@ -256,7 +345,6 @@ def _classify(core: np.ndarray, core_class: np.ndarray, fit: np.ndarray, prior:
         t = pa.Table.from_batches(held).combine_chunks()
         words, at, inverse = np.unique(t["word"].to_numpy().view(np.uint64), return_index=True, return_inverse=True)
         count = np.bincount(inverse, t["n"].to_numpy(), len(words)).astype(np.int64)
-        place = _core_of(core, words)
         of = np.zeros(len(words), np.int64)
         near = t["near"].chunk(0)
         offsets = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1].astype(np.int64) // 4
@@ -270,8 +358,6 @@ def _classify(core: np.ndarray, core_class: np.ndarray, fit: np.ndarray, prior:
             rows = min(block, len(words) - a)
             dense = np.bincount((of_word[some] - a) * width + (data[some] >> 24), data[some] & 0xFFFFFF, rows * width).reshape(rows, width)
             of[a : a + rows] = CLASSES + np.argmax(dense @ fit + prior, axis=1)
-        of[place >= 0] = core_class[place[place >= 0]]
-        of[words == END_HASH] = END_CLASS
         of[count == 0] = UNKNOWN
         once = np.zeros(len(inverse), bool)
         once[at] = True
@@ -282,52 +368,62 @@ def _classify(core: np.ndarray, core_class: np.ndarray, fit: np.ndarray, prior:
     return run
 
 
-def _sequences(total: int, distinct: int, discount: float):
-    """Over a chunk's rows and its dictionary's: of each document what scoring needs.
+def _sequences(core: np.ndarray, core_class: np.ndarray, core_count: np.ndarray, ends: int, total: int, distinct: int, discount: float):
+    """Over rows sorted by chunk, a chunk's own row first and then its dictionary's: of each document what scoring needs.
 
     fresh, at a chunk's first document: how many of each class's words stand for themselves in this chunk.
     """
 
+    def one(own, rows):
+        c = next(_chunks(own))
+        count, kind = np.zeros(len(c.words), np.int64), np.full(len(c.words), UNKNOWN, np.uint8)
+        fresh = [None] * len(c.sizes)
+        if rows:
+            place, n, of, once = (np.concatenate([r[k] for r in rows]) for k in range(4))
+            count[place], kind[place] = n, of
+            fresh[0] = np.bincount(of[once.astype(bool)], minlength=UNKNOWN + 1).tobytes()
+        at = _core_of(core, c.words)
+        known = at >= 0
+        count[known], kind[known] = core_count[at[known]], core_class[at[known]]
+        is_end = c.words == END_HASH
+        count[is_end], kind[is_end] = ends, END_CLASS if ends else UNKNOWN
+        base = np.log10((count + 1) / (total + distinct + 1))
+        word = np.where((count > 0) & (kind != END_CLASS), np.log10(np.maximum(count - discount, 1e-9)), 0.0)
+        start = np.cumsum(c.sizes) - c.sizes
+        per_doc = lambda v: np.add.reduceat(v[c.tokens], start)
+        sequence = kind[c.tokens]
+        offsets = np.append(start, len(sequence)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                own.column("keys").flatten(),
+                pa.array(c.held),
+                pa.array(c.sizes),
+                pa.array(per_doc((count > 0).astype(np.int64))),
+                pa.array(per_doc(base)),
+                pa.array(per_doc(word)),
+                pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sequence))]),
+                pa.array(fresh, pa.binary()),
+            ],
+            ["key", "held_out", "n_tokens", "n_known", "base_score", "words_score", "classes", "fresh"],
+        )
+
     def run(batches):
-        open_chunks: dict[int, list] = {}
+        own, rows = None, []
         for batch in batches:
-            chunk = batch.column(0).to_numpy()
             is_chunk = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
             columns = [batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4)]
-            rows = np.flatnonzero(~is_chunk)
-            rows = rows[np.argsort(chunk[rows], kind="stable")]
-            ids, begin = np.unique(chunk[rows], return_index=True)
-            for i, own in zip(ids.tolist(), np.split(rows, begin[1:]), strict=True):
-                open_chunks.setdefault(i, [[], None])[0].append([c[own] for c in columns])
-            for k in np.flatnonzero(is_chunk).tolist():
-                open_chunks.setdefault(int(chunk[k]), [[], None])[1] = batch.slice(k, 1).select(list(range(5, batch.num_columns)))
-        for rows, own in open_chunks.values():
-            own = own.rename_columns([n.replace("c_chunk", "chunk") for n in own.schema.names])
-            c = next(_chunks(own))
-            place, n, of, once = (np.concatenate([r[k] for r in rows]) for k in range(4))
-            count, kind = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.uint8)
-            count[place], kind[place] = n, of
-            base = np.log10((count + 1) / (total + distinct + 1))
-            word = np.where((count > 0) & (kind != END_CLASS), np.log10(np.maximum(count - discount, 1e-9)), 0.0)
-            start = np.cumsum(c.sizes) - c.sizes
-            per_doc = lambda v: np.add.reduceat(v[c.tokens], start)
-            sequence = kind[c.tokens]
-            offsets = np.append(start, len(sequence)).astype(np.int32)
-            fresh = [None] * len(start)
-            fresh[0] = np.bincount(of[once.astype(bool)], minlength=UNKNOWN + 1).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    own.column("keys").flatten(),
-                    pa.array(c.held),
-                    pa.array(c.sizes),
-                    pa.array(per_doc((count > 0).astype(np.int64))),
-                    pa.array(per_doc(base)),
-                    pa.array(per_doc(word)),
-                    pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sequence))]),
-                    pa.array(fresh, pa.binary()),
-                ],
-                ["key", "held_out", "n_tokens", "n_known", "base_score", "words_score", "classes", "fresh"],
-            )
+            begin = 0
+            for k in [*np.flatnonzero(is_chunk).tolist(), batch.num_rows]:
+                if k > begin:
+                    rows.append([c[begin:k] for c in columns])
+                if k < batch.num_rows:
+                    if own is not None:
+                        yield one(own, rows)
+                    own, rows = batch.slice(k, 1).select(list(range(5, batch.num_columns))), []
+                    own = own.rename_columns([n.replace("c_chunk", "chunk") for n in own.schema.names])
+                begin = k + 1
+        if own is not None:
+            yield one(own, rows)
 
     return run
 
@@ -378,14 +474,8 @@ def _score(move: np.ndarray, size: np.ndarray, unseen: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
-
-    Learns from the rows whose crc32(key) modulo folds isn't held_out.  A null
-    or empty text is its end token.  Every input row, repeated ones too, gives
-    one row; other columns are ignored.  Without anything to learn from, all
-    words are unknown and have probability 1.
-    """
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT) -> Fitted:
+    """Cluster the words of the held-in rows; every row's class sequence, written to the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
@@ -396,45 +486,100 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
     total, distinct = stat.total or 0, stat.distinct
     discount = min(0.9, max(0.1, stat.once / max(1, stat.once + 2 * stat.twice)))
     end = int(END_HASH.astype(np.int64))
-    top = counts.filter(F.col("word") != end).orderBy(F.desc("n"), "word").limit(CORE).select("word").collect()
-    by_rank = np.array([r.word for r in top], np.int64).view(np.uint64)
-    core = np.sort(by_rank)
-    pairs = chunks.drop("keys").mapInArrow(_core_bigrams(core), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # CORE + 1 squared at most
-    bigrams = np.zeros((len(core) + 1) ** 2)
-    bigrams[pairs["pair"]] = pairs["n"]
-    rank = np.append(np.searchsorted(core, by_rank), len(core))
-    bigrams = bigrams.reshape(len(core) + 1, -1)
-    core_class = np.zeros(len(core), np.int64)
-    core_class[rank[:-1]] = exchange(bigrams[np.ix_(rank, rank)])
-    of = np.append(core_class, CLASSES)
-    table = np.full((CLASSES + 1, CLASSES + 1), 0.5)
-    np.add.at(table, (of[:, None], of[None, :]), bigrams)
-    size = table.sum(1)
-    fit = np.concatenate([np.log(table[:, :CLASSES] / size[:CLASSES]), np.log(table[:CLASSES].T / size[:CLASSES])])  # left neighbours, right neighbours
-    dealt = chunks.drop("keys").mapInArrow(_contexts(core, core_class), "word long, n long, chunk long, place int, near binary").repartition("word")
-    known = dealt.mapInArrow(_classify(core, core_class, fit, np.log(size[:CLASSES])), "chunk long, place int, n long, class short, once short")
+    top = counts.filter(F.col("word") != end).orderBy(F.desc("n"), "word").limit(CORE).toPandas()  # a fixed number
+    ends = (counts.filter(F.col("word") == end).first() or {"n": 0})["n"]
+    by_rank = top["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(by_rank)
+    core, core_count = by_rank[order], top["n"].to_numpy(np.int64)[order]
+    core_class, contexts = _core_classes(chunks, core, by_rank[:SEEDS])
+    fit, size = fit_of(class_table(contexts, core_class))
+    narrow = chunks.drop("keys")
+    made = chunks.agg(F.count("*").alias("chunks"), F.sum("n_words").alias("words")).first()
+    tasks = -(-(made.words or 0) // TASK_ROWS) + 1
+    dealt = narrow.mapInArrow(_contexts(core, core_class), "word long, n long, chunk long, place int, near binary").repartition(tasks, "word")
+    known = dealt.mapInArrow(_classify(fit, np.log(size)), "chunk long, place int, n long, class short, once short")
     payload = [f"CAST(NULL AS {t}) AS {n}" for n, t in chunks.withColumnRenamed("chunk", "c_chunk").dtypes]
-    both = known.selectExpr("chunk", "place", "n", "class", "once", *payload).union(chunks.selectExpr("chunk", "CAST(NULL AS int)", "CAST(NULL AS long)", "CAST(NULL AS short)", "CAST(NULL AS short)", *chunks.columns))
+    both = known.selectExpr("chunk", "place", "n", "class", "once", *payload).union(chunks.selectExpr("chunk", "-1", "CAST(NULL AS long)", "CAST(NULL AS short)", "CAST(NULL AS short)", *chunks.columns))
     sequences = stage_table(
-        both.repartition("chunk").mapInArrow(
-            _sequences(total, distinct, discount), f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, words_score double, classes binary, fresh binary"
+        both.repartition(2 * made.chunks + 1, "chunk")
+        .sortWithinPartitions("chunk", F.col("place") >= 0)
+        .mapInArrow(
+            _sequences(core, core_class, core_count, ends, total, distinct, discount),
+            f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, words_score double, classes binary, fresh binary",
         ),
         "brown-sequences",
     )
-    moves = sequences.select("classes", "held_out", "fresh").mapInArrow(_transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # a fixed number
-    table = np.zeros(SIDE * SIDE + UNKNOWN + 1)
-    table[moves["pair"]] = moves["n"]
-    distinct_of = table[SIDE * SIDE :][:SIDE]
-    table = table[: SIDE * SIDE].reshape(SIDE, SIDE)
-    size = table.sum(0)
-    prior = (size + 1e-9) / (size + 1e-9).sum()
-    log_move = np.log10((table + 2 * prior) / (table.sum(1, keepdims=True) + 2))
-    log_size = np.log10(np.maximum(size, 1))
-    unseen = discount * distinct_of / np.maximum(size, 1)
-    log_size[END_CLASS] = unseen[END_CLASS] = 0.0
-    if not total:
-        unseen[:] = 1.0
-    out = sequences.select("key", "held_out", "n_tokens", "n_known", "words_score", "classes", "base_score").mapInArrow(
+    return Fitted(sequences, total, discount, np.bincount(core_class, minlength=CLASSES))
+
+
+@dataclass
+class Fitted:
+    """The documents as class sequences, the number of training tokens, the discount, and the core's distinct words of each class."""
+
+    sequences: DataFrame
+    total: int
+    discount: float
+    core_words: np.ndarray
+
+    def model(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 P(class | class), log10 of the classes' tokens, P(unknown word | class)."""
+        moves = self.sequences.select("classes", "held_out", "fresh").mapInArrow(_transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # a fixed number
+        table = np.zeros(SIDE * SIDE + UNKNOWN + 1)
+        table[moves["pair"]] = moves["n"]
+        distinct_of = table[SIDE * SIDE :][:SIDE].copy()
+        distinct_of[:CLASSES] += self.core_words
+        table = table[: SIDE * SIDE].reshape(SIDE, SIDE)
+        size = table.sum(0)
+        prior = (size + 1e-9) / (size + 1e-9).sum()
+        log_move = np.log10((table + 2 * prior) / (table.sum(1, keepdims=True) + 2))
+        log_size = np.log10(np.maximum(size, 1))
+        unseen = self.discount * distinct_of / np.maximum(size, 1)
+        log_size[END_CLASS] = unseen[END_CLASS] = 0.0
+        if not self.total:
+            unseen[:] = 1.0
+        return log_move, log_size, unseen
+
+
+def _core_classes(chunks: DataFrame, core: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each core word, and its counts of neighbouring classes.  seeds: the most frequent words, by rank."""
+    narrow = chunks.drop("keys")
+    sorted_seeds = np.sort(seeds)
+    pairs = narrow.mapInArrow(_seed_bigrams(sorted_seeds), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # SEEDS + 1 squared at most
+    bigrams = np.zeros((len(seeds) + 1) ** 2)
+    bigrams[pairs["pair"]] = pairs["n"]
+    rank = np.append(np.searchsorted(sorted_seeds, seeds), len(seeds))
+    core_class = np.full(len(core), -1)
+    core_class[np.searchsorted(core, seeds)] = exchange(bigrams.reshape(len(seeds) + 1, -1)[np.ix_(rank, rank)])
+    contexts = np.zeros((0, WIDTH))
+    parts = -(-len(core) // RANGE)
+    for sweep in range(CORPUS_SWEEPS + 1):
+        per_task = narrow.mapInArrow(_core_contexts(core, core_class), "part int, counts binary")
+        rows = per_task.repartition(max(1, parts), "part").mapInArrow(_sum_contexts, "part int, counts binary").collect()  # a fixed number
+        contexts = np.zeros((parts * RANGE, WIDTH))
+        for r in rows:
+            contexts[r.part * RANGE : (r.part + 1) * RANGE] = _unpack(r.counts, np.int64, RANGE * WIDTH).reshape(RANGE, WIDTH)
+        contexts = contexts[: len(core)]
+        if sweep == CORPUS_SWEEPS or not len(core):
+            break
+        moved = move_all(contexts, core_class)
+        if (moved == core_class).all():
+            break
+        core_class = moved
+    return core_class, contexts
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    Learns from the rows whose crc32(key) modulo folds isn't held_out.  A null
+    or empty text is its end token.  Every input row, repeated ones too, gives
+    one row; other columns are ignored.  Without anything to learn from, all
+    words are unknown and have probability 1.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    fitted = fit(docs, text, key, folds, held_out)
+    log_move, log_size, unseen = fitted.model()
+    out = fitted.sequences.select("key", "held_out", "n_tokens", "n_known", "words_score", "classes", "base_score").mapInArrow(
         _score(log_move, log_size, unseen), f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(fitted.total).cast("long").alias("train_tokens"), "base_score", "score")
