@@ -2,19 +2,29 @@
 
 The standard library's parser streams a page's events.  Block elements cut the
 text into lines; a line's ratio is its characters over its tags.  Ratios are
-smoothed with a Gaussian over neighbouring lines and clustered into two groups
-by a threshold (two means in one dimension).  A region is the article or main
-element, or else the nearest division, that a line stands in; regions with a
-line over the threshold are content (and always the best one), and all of
-their lines are kept, short ones too.
-
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments never are content, by their element, role, class or id.
+smoothed with a Gaussian over neighbouring lines of a region, lowered where classes or ids
+speak against a line (MARKED for each such element around it) or where the page
+has an article, or else a headline, and the line isn't in its region (OUTSIDE),
+and clustered into two groups
+by a threshold (two means in one dimension).
+
+A region is the article or main element, or else the nearest division, that a
+line stands in; a division with one line belongs to the one around it.  Regions
+whose characters have a mean ratio over the threshold are content (and always
+the best one), and all of their lines are kept, short ones too, but for lines
+with more marks than the region itself that are under the threshold.  So the ratio decides about
+every region, and a class never does alone: a mark is void if the article, main
+element or headline is inside it.
+
+Elements that hold no article text (menus, footers, asides, forms, scripts,
+styles, headers outside the article, and what their role or style says is one)
+are left out before.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from math import exp
 
@@ -47,51 +57,63 @@ HEADERS = frozenset(("header", "topheader", "siteheader", "pageheader"))
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-KEPT_WHOLE = frozenset(("html", "body", "main", "article"))
+#: What a line's ratio is multiplied with for each mark, and outside the article.
+MARKED, OUTSIDE = 0.1, 0.3
+#: A mark around one of these is void.
+VOIDS = frozenset(("article", "main", "h1"))
+#: A class that begins so tells what else is on the page.
+ABOUT = ("has-", "has_", "with-", "with_", "no-", "no_", "without-", "js-")
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether an element's role, class, id or style says that it isn't the article."""
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's role or style says that it isn't the article."""
     for name, value in attrs:
-        if name == "hidden":
+        if name == "hidden" or value and (
+            name == "role" and value.strip().lower() in ROLES or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and HIDDEN.search(value)
+        ):
             return True
-        if not value:
-            continue
-        if name in ("class", "id"):
-            for part in SPLIT.split(CAMEL.sub(r"\1-\2", value).lower()):
-                if part in HINTS or part in HEADERS and not in_article:
+    return False
+
+
+def _marked(attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether an element's class or id speaks against it."""
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            for word in value.split():
+                if not word.lower().startswith(ABOUT) and any(
+                    part in HINTS or part in HEADERS and not in_article for part in SPLIT.split(CAMEL.sub(r"\1-\2", word).lower())
+                ):
                     return True
-        elif name == "role":
-            if value.strip().lower() in ROLES:
-                return True
-        elif name == "aria-hidden":
-            if value.strip().lower() == "true":
-                return True
-        elif name == "style" and HIDDEN.search(value):
-            return True
     return False
 
 
 class Lines(HTMLParser):
-    """The lines of one page: (text, tags, region, content possible)."""
+    """The lines of one page: (text, tags, region, whether its elements can hold article text, marks around it)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
         self.part: list[str] = []
         self.tags = 0
-        #: open elements: tag, dropped, region, in an article
-        self.stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        #: open elements: tag, dropped, region, in an article, marks
+        self.stack: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]
         self.articles: set[int] = set()
-        self.regions = 0
+        #: numbers of the headlines' lines
+        self.headlines: set[int] = set()
+        self.void: set[int] = set()
+        #: of each region, the one around it
+        self.around = [0]
+        self.marks = 0
 
     def flush(self) -> None:
         if self.part:
             text = " ".join("".join(self.part).split())
             self.part.clear()
             if text:
-                _, dropped, region, _ = self.stack[-1]
-                self.lines.append((text, self.tags, region, not dropped))
+                tag, dropped, region, _, marks = self.stack[-1]
+                if tag == "h1":
+                    self.headlines.add(len(self.lines))
+                self.lines.append((text, self.tags, region, not dropped, marks))
                 self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -105,31 +127,27 @@ class Lines(HTMLParser):
         stack = self.stack
         if tag in BLOCK:
             self.close_implied(tag)
-        _, dropped, region, in_article = stack[-1]
-        if tag in ("article", "main"):
-            dropped = _marked(tag, [a for a in attrs if a[0] != "style"], True) if tag == "article" and in_article else dropped and self.inside(DROPPED)
-            if not in_article:
-                self.regions += 1
-                region = self.regions
-                if not dropped and not _marked(tag, attrs, True):
-                    self.articles.add(region)
-                    in_article = True
-                else:
-                    dropped = True
-        elif not dropped:
-            if tag in DROPPED or (tag == "header" and not in_article):
-                dropped = True
-            elif attrs and tag not in KEPT_WHOLE:
-                dropped = _marked(tag, attrs, in_article)
-            if not in_article and tag in ("div", "section", "td", "body"):
-                self.regions += 1
-                region = self.regions
-        if dropped and not stack[-1][1]:
-            self.flush()  # what stands before it in the line isn't dropped
-        stack.append((tag, dropped, region, in_article))
-
-    def inside(self, tags) -> bool:
-        return any(s[0] in tags for s in self.stack)
+        _, dropped, region, in_article, marks = stack[-1]
+        if not dropped:
+            dropped = tag in DROPPED or tag == "header" and not in_article or bool(attrs) and tag not in ("html", "body") and _hidden(attrs)
+        if dropped:
+            if not stack[-1][1]:
+                self.flush()  # what stands before it in the line isn't dropped
+            stack.append((tag, True, region, in_article, marks))
+            return
+        if tag in VOIDS:
+            self.void.update(marks)
+        if attrs and _marked(attrs, in_article):
+            self.flush()
+            self.marks += 1
+            marks = (*marks, self.marks)
+        if not in_article and tag in ("article", "main", "div", "section", "td", "body"):
+            self.around.append(region)
+            region = len(self.around) - 1
+            if tag in ("article", "main") and len(marks) == len(stack[-1][4]):
+                self.articles.add(region)
+                in_article = True
+        stack.append((tag, False, region, in_article, marks))
 
     def close_implied(self, tag: str) -> None:
         """Close an open p before a block, and an open item before the next one."""
@@ -149,7 +167,7 @@ class Lines(HTMLParser):
         stack = self.stack
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
-                if stack[-1][1] and not stack[k - 1][1]:
+                if stack[-1][1] and not stack[k - 1][1] or len(stack[-1][4]) > len(stack[k - 1][4]):
                     self.flush()
                 del stack[k:]
                 return
@@ -196,18 +214,31 @@ def main_text(html: str) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    if not lines:
-        return ""
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    peak: dict[int, float] = {}
-    for r, (_, _, region, possible) in zip(ratio, lines, strict=True):
-        if possible and (not parser.articles or region in parser.articles):
-            peak[region] = max(r, peak.get(region, 0.0))
-    if not peak:
+    possible = [k for k, line in enumerate(lines) if line[3]]
+    if not possible:
         return ""
-    threshold = min(split_point(ratio), max(peak.values()))
-    content = {region for region, p in peak.items() if p >= threshold}
-    return "\n\n".join(text for text, _, region, possible in lines if possible and region in content)
+    held = Counter(lines[k][2] for k in possible)
+    region, marked, rows = {}, {}, {}
+    for k in possible:
+        _, _, own, _, marks = lines[k]
+        marked[k] = sum(m not in parser.void for m in marks)
+        region[k] = parser.around[own] if held[own] == 1 and own not in parser.articles and not marked[k] and parser.around[own] not in parser.articles else own
+        rows.setdefault(region[k], []).append(k)
+    inner = parser.articles or {region[k] for k in possible if k in parser.headlines}
+    ratio = {}
+    for own in rows.values():
+        for k, r in zip(own, smoothed([len(lines[k][0]) / max(1, lines[k][1]) for k in own]), strict=True):
+            ratio[k] = r * MARKED ** marked[k] * (OUTSIDE if inner and region[k] not in inner else 1.0)
+    threshold = split_point([ratio[k] for k in possible])
+    weight, total = Counter(), Counter()
+    for k in possible:
+        n = len(lines[k][0])
+        weight[region[k]] += n
+        total[region[k]] += n * ratio[k]
+    mean = {r: total[r] / weight[r] for r in weight}
+    least = min(threshold, max(mean.values()))
+    least_marks = {r: min(marked[k] for k in own) for r, own in rows.items()}
+    return "\n\n".join(lines[k][0] for k in possible if mean[region[k]] >= least and (marked[k] == least_marks[region[k]] or ratio[k] >= least))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
