@@ -33,17 +33,38 @@ def contains_any(c: Column, terms: Iterable[str]) -> Column:
     return out
 
 
+#: Sentences whose lengths are added up one by one; longer sums go over blocks of so many.
+BLOCK = 16
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, wherever the body uses it (in lambdas too)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sentence_spans(c: Column, lexicon: Lexicon) -> Column:
-    """array<struct<idx, start, end, text>>: offsets of the whole match, text stripped, blank ones left out."""
-    found = F.regexp_extract_all(c, F.lit(lexicon.sentence), 0)
+    """array<struct<idx, start, end, text>>: offsets of the whole match, text stripped, blank ones left out.
+
+    Lengths are summed over blocks first and then within each sentence's block,
+    so the work grows with the text and not with its square.
+    """
     lead = F.length(F.regexp_extract(c, f"^[{lexicon.terminators}]+", 0))
-    empty = F.array().cast("array<struct<idx:int,start:int,end:int,text:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x)).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(F.size(acc["out"]).alias("idx"), acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), strip(x).alias("text")))).alias("out"),
-    )
-    spans = F.aggregate(found, F.struct(lead.alias("at"), empty.alias("out")), step)["out"]
-    return F.filter(spans, lambda s: s["text"] != "")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x["n"])
+
+    def spans(own: Column) -> Column:
+        found = own["found"]
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(found), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice(found, b * BLOCK + 1, F.lit(BLOCK)))
+        before = F.aggregate(blocks, F.array(own["lead"]), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + total(x))))
+
+        def placed(z: Column, b: Column) -> Column:
+            start = lambda i: z["at"] + total(F.slice(z["x"], F.lit(1), i))
+            row = lambda x, i, at: F.struct((b * BLOCK + i).alias("idx"), at.alias("start"), (at + x["n"]).alias("end"), strip(x["x"]).alias("text"))
+            return F.transform(z["x"], lambda x, i: row(x, i, start(i)))
+
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("x"), F.slice(before, F.lit(1), F.size(before) - 1).alias("at")), placed))
+
+    found = F.transform(F.regexp_extract_all(c, F.lit(lexicon.sentence), 0), lambda x: F.struct(x.alias("x"), F.length(x).alias("n")))
+    return F.filter(let(F.struct(found.alias("found"), lead.alias("lead")), spans), lambda s: s["text"] != "")
 
 
 def target_sentence(spans: Column, index: Column | int) -> Column:
