@@ -16,7 +16,7 @@ from .functions import text as T
 from .functions.lexicon import LATIN as L
 from .operators import adapters, claims, dataset, dedup, edits, filters, reports, verify
 from .plans import pipeline as plan
-from .sources import readers
+from .sources import readers, storage
 from .streaming import incremental
 
 QUERIES: dict = {}
@@ -85,12 +85,12 @@ _PROFILE = {"has_numeric": "[0-9০-৯]", "money": L.money, "percent": L.percen
 
 @query(
     f"""SELECT doc_id, {", ".join(f"regexp_matches(text, '{p}') AS {k}" for k, p in _PROFILE.items())},
-    regexp_matches(text, '{L.count}') AND NOT regexp_matches(text, '{L.money}') AS count_unit, translate(left(text, 200), '0123456789', '০১২৩৪৫৬৭৮৯') AS bangla FROM documents"""
+    regexp_matches(text, '{L.count}') AND NOT regexp_matches(text, '{L.money}') AS count_unit, translate(text, '0123456789', '০১২৩৪৫৬৭৮৯') AS bangla FROM documents"""
 )
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.unit_profile(F.col("text"), L)
     return table(spark, sf_dir, "documents").select(
-        "doc_id", *[p[k].alias(k) for k in _PROFILE], p["count"].alias("count_unit"), T.bangla_digits(F.substring("text", 1, 200)).alias("bangla")
+        "doc_id", *[p[k].alias(k) for k in _PROFILE], p["count"].alias("count_unit"), T.bangla_digits(F.col("text")).alias("bangla")
     )
 
 
@@ -101,11 +101,11 @@ _UNITS = "|".join([*L.scales, *L.other_units])
     f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9০-৯]+(?:[.,][0-9০-৯]+)?){T.SPACE}*({_UNITS})?', 1)) AS raw,
                       unnest(regexp_extract_all(text, '([0-9০-৯]+(?:[.,][0-9০-৯]+)?){T.SPACE}*({_UNITS})?', 2)) AS unit FROM documents),
     v AS (SELECT doc_id, try_cast(replace(raw, ',', '.') AS DOUBLE) * CASE unit WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 ELSE 1 END AS v FROM p)
-    SELECT doc_id, count(v) AS n_values, round(least(max(v), 1e9), 2) AS largest, count_if(abs(v) BETWEEN 1 AND 99999)::BIGINT AS usable FROM v WHERE v IS NOT NULL GROUP BY doc_id"""
+    SELECT doc_id, count(v) AS n_values, max(v) AS largest, count_if(abs(v) BETWEEN 1 AND 99999)::BIGINT AS usable FROM v WHERE v IS NOT NULL GROUP BY doc_id"""
 )
 def scaled_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "documents").select("doc_id", T.scaled_values(F.col("text"), L).alias("v")).filter(F.size("v") > 0)
-    return v.select("doc_id", F.size("v").cast("long").alias("n_values"), F.round(F.least(F.array_max("v"), F.lit(1e9)), 2).alias("largest"), F.size(filters.usable_numbers(F.col("v"))).cast("long").alias("usable"))
+    return v.select("doc_id", F.size("v").cast("long").alias("n_values"), F.array_max("v").alias("largest"), F.size(filters.usable_numbers(F.col("v"))).cast("long").alias("usable"))
 
 
 @query(f"SELECT doc_id, {Q.joined(Q.hits('text', L.entities))} AS entities, {Q.joined(Q.hits('text', L.policy))} AS policies, {Q.contains_any('text', L.financial)} AS financial FROM documents")
@@ -146,9 +146,13 @@ def effect_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- claims
 
 
+#: The documents table has no headlines; a text's first 60 characters stand for one, here and in the SQL.
+HEADLINE_CHARS = 60
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return claims.score(claims.extract(docs, L, headline=F.substring("text", 1, 60)), L)
+    return claims.score(claims.extract(docs, L, headline=F.substring("text", 1, HEADLINE_CHARS), max_sentences=None), L)
 
 
 _CLAIM = ["idx", "sentence", "claim_type", "confidence"]
@@ -158,7 +162,7 @@ _SCORES = ["importance", "editability", "verification", "locality", "risk", "ove
 @query(f"WITH {Q.claims(L)} SELECT doc_id, idx, sentence, claim_type, entities, numbers, policies, dates, n_words, confidence FROM c")
 def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = claims.extract(docs, L, headline=F.substring("text", 1, 60))
+    found = claims.extract(docs, L, headline=F.substring("text", 1, HEADLINE_CHARS), max_sentences=None)
     return found.select("doc_id", "idx", "sentence", "claim_type", *_joined("entities", "numbers", "policies", "dates"), "n_words", "confidence")
 
 
@@ -286,12 +290,6 @@ def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", S.similarity_mix(F.col("before"), F.col("text")).alias("similarity"))
 
 
-@query()
-def style_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = verify.style(F.col("before"), F.col("text"), F.substring("before", 1, 40), L)
-    return _turns(spark, sf_dir).select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.score", "v.passed", "v.reason")
-
-
 @query()
 def artifact_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.artifacts(F.col("text"), L), "|").alias("artifacts"), S.heuristic_fluency(F.col("text")).alias("fluency"))
@@ -304,29 +302,16 @@ def turn_lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def edit_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.substring("text", 1, 60).alias("headline"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.substring("text", 1, HEADLINE_CHARS).alias("headline"), "text")
 
     def planner(rows: DataFrame) -> DataFrame:
         out = edits.heuristic_plan(rows)
         return out.withColumn("replacement", F.when(F.col("family") == "temporal_shift", "2031").when(F.col("family") == "entity_replacement", "elsewhere").otherwise("with 950000000 items"))
 
-    samples, _ = plan.run(docs, L, planner, settle=_settle(spark))
+    samples, _ = plan.run(docs, L, planner, settings=plan.Settings(max_sentences=None), settle=storage.settle)
     return samples.select("sample_id", "original_id", "edit_family", "label", "idx", "target_span", "replacement", F.col("report.passed").alias("passed"), "attempt")
 
 
-def _settle(spark: SparkSession):
-    """A durable stage: a checkpoint in the cluster's folder, or in a test's own if none is named."""
-    import tempfile
-
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="claimlens-"))
-    return lambda df: df.checkpoint()
-
-
 # --- filters
 
 _PAIR = "SELECT doc_id, text AS original_text, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text || ' ' WHEN 2 THEN left(text, 40) WHEN 3 THEN text || text || text ELSE replace(text, 'the', 'a') END AS text FROM documents"
@@ -389,7 +374,7 @@ def max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return dedup.greedy_accept(dedup.similar_pairs(rows, 0.35), rows, settle=_settle(spark))
+    return dedup.greedy_accept(dedup.similar_pairs(rows, 0.35), rows, settle=storage.settle)
 
 
 @query(
@@ -634,3 +619,6 @@ def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL '60 minutes', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.windowed_counts(table(spark, sf_dir, "events"))
+
+
+from . import casebook  # noqa: E402, F401  registers its queries here

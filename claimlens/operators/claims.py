@@ -21,8 +21,11 @@ def sentences(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str
     return rows.select(*[c for c in docs.columns if c != text], F.col("_s.idx").alias("idx"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.col("_s.text").alias("sentence"))
 
 
-def extract(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", headline: Column | None = None, min_confidence: float = S.MIN_CONFIDENCE, min_chars: int = S.MIN_CHARS, max_sentences: int = S.MAX_SENTENCES) -> DataFrame:
-    """Claims of each document: sentences of enough length, of a type, and of enough (unrounded) confidence."""
+def extract(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", headline: Column | None = None, min_confidence: float = S.MIN_CONFIDENCE, min_chars: int = S.MIN_CHARS, max_sentences: int | None = S.MAX_SENTENCES) -> DataFrame:
+    """Claims of each document: sentences of enough length, of a type, and of enough (unrounded) confidence.
+
+    max_sentences: only so many of each document are looked at; None looks at all.
+    """
     base = docs.select(key, (F.lit("") if headline is None else headline).alias("headline"), F.col(text).alias("text"))
     rows = sentences(base, lexicon, key, "text", max_sentences).filter(F.length("sentence") >= min_chars)
     s = F.col("sentence")
@@ -30,8 +33,11 @@ def extract(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str =
         key, "headline", "idx", "sentence", T.entities(s, lexicon).alias("entities"), T.numbers(s).alias("numbers"), T.term_hits(s, lexicon.policy).alias("policies"), T.dates(s, lexicon).alias("dates"), F.size(T.words(s)).alias("n_words")
     )
     n = [F.size(c) for c in ("entities", "numbers", "policies", "dates")]
-    rows = rows.withColumn("claim_type", S.claim_type(s, *n, lexicon)).filter("claim_type <> 'other'")
-    rows = rows.withColumn("raw_confidence", S.confidence(F.col("idx"), s, *n, F.col("n_words"), lexicon)).filter(F.col("raw_confidence") >= min_confidence - 1e-9)
+    rows = rows.withColumn("claim_type", S.claim_type(s, *n, lexicon))
+    rows = rows.withColumn("raw_confidence", S.confidence(F.col("idx"), s, *n, F.col("n_words"), lexicon))
+    # filters aren't pushed below a generator, so what they ask for is computed once
+    rows = rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("c")).select("c.*")
+    rows = rows.filter((F.col("claim_type") != "other") & (F.col("raw_confidence") >= min_confidence - 1e-9))
     return rows.withColumn("confidence", S.rounded(F.col("raw_confidence"))).drop("raw_confidence")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
@@ -26,29 +27,17 @@ def first_n_per_type(rows: DataFrame, kind: str, order: list[str], n: int) -> Da
     return rows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
-def balance(rows: DataFrame, label: str, order: list[str]) -> DataFrame:
+def balance(rows: DataFrame, label: str, order: list[str], settle=None) -> DataFrame:
     """As many first rows of each label as the rarest label has."""
-    least = rows.groupBy(label).count().agg(F.min("count").alias("_least"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    return rows.withColumn("_place", place).join(F.broadcast(least)).filter(F.col("_place") <= F.col("_least")).drop("_place", "_least")  # one row
-
+    own = ranks.placed(rows, [label], order, settle)
+    least = own.agg(F.min("_size").alias("_least"))
+    return own.join(F.broadcast(least)).filter(F.col("_place") < F.col("_least")).drop("_place", "_size", "_least")  # one row
 
-def chunk_ids(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Adds chunk: rows in an explicit order, ``size`` a chunk.
 
-    Counted without a single-task window: range-partitioned, numbered within
-    partitions, plus the counts of the partitions before.
-    """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one number a partition
-    base, before = {}, 0
-    for p in sorted(counts):
-        base[p] = before
-        before += counts[p]
-    start = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    ordinal = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.element_at(start, part)
-    return placed.withColumn("chunk", F.floor(ordinal / size).cast("long")).drop("_id")
+def chunk_ids(rows: DataFrame, size: int, order: list[str], settle=None) -> DataFrame:
+    """Adds chunk: rows in an explicit order, ``size`` a chunk."""
+    own = ranks.placed(rows, [], order, settle)
+    return own.withColumn("chunk", F.floor(F.col("_place") / size).cast("long")).drop("_place", "_size")
 
 
 def seeds(rows: DataFrame, key: str, seed: int) -> DataFrame:
@@ -74,7 +63,32 @@ def fold_metadata(rows: DataFrame, key: str, headline: str, text: str) -> DataFr
     return rows.select(F.col(key).cast("string").alias("article_id"), head.alias("headline"), F.col(text).alias("text"), F.create_map(*pairs).alias("metadata"))
 
 
-def grouped_split(rows: DataFrame, group: str, seed: int = 42, ratios: dict[str, float] | None = None) -> DataFrame:
+def fill(filled: dict[str, int], room: dict[str, float], n: int, groups: int) -> dict[str, int]:
+    """How many of ``groups`` groups of n rows each split gets, if each goes to the split that is filled least.
+
+    The j-th group of a split is dealt when it is filled to (filled + j * n) /
+    room; so the smallest of these levels are dealt.  All but a few follow from
+    a level that a bisection finds; the rest are dealt one by one.
+    """
+    names = list(room)
+    upto = lambda level, s: max(0, int((level * room[s] - filled[s]) // n) + 1)
+    low, high = 0.0, max((filled[s] + n * groups) / room[s] for s in names)
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(upto(middle, s) for s in names) <= groups else (low, middle)
+    got = {s: upto(low, s) for s in names}
+    if sum(got.values()) > groups:
+        got = dict.fromkeys(names, 0)
+    heap = [((filled[s] + n * got[s]) / room[s], filled[s] + n * got[s], k, s) for k, s in enumerate(names)]
+    heapq.heapify(heap)
+    for _ in range(groups - sum(got.values())):
+        _, rows, k, s = heapq.heappop(heap)
+        got[s] += 1
+        heapq.heappush(heap, ((rows + n) / room[s], rows + n, k, s))
+    return got
+
+
+def grouped_split(rows: DataFrame, group: str, seed: int = 42, ratios: dict[str, float] | None = None, settle=None) -> DataFrame:
     """Adds split: all rows of a group in one; larger groups first, each to the split that is filled least.
 
     Groups of the same size are interchangeable, so only their numbers by size
@@ -87,26 +101,18 @@ def grouped_split(rows: DataFrame, group: str, seed: int = 42, ratios: dict[str,
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
     by_size = sorted(((r["_n"], r["g"]) for r in sizes.groupBy("_n").agg(F.count("*").alias("g")).collect()), reverse=True)
     total = sum(n * g for n, g in by_size)
-    names = list(ratios)
-    filled = dict.fromkeys(names, 0)
+    room = {s: max(total * share, 1.0) for s, share in ratios.items()}
+    filled = dict.fromkeys(room, 0)
     bounds = []
     for n, g in by_size:
-        got = dict.fromkeys(names, 0)
-        heap = [(filled[s] / max(total * ratios[s], 1.0), filled[s], k, s) for k, s in enumerate(names)]
-        heapq.heapify(heap)
-        for _ in range(g):
-            _, _, k, s = heapq.heappop(heap)
-            got[s] += 1
-            filled[s] += n
-            heapq.heappush(heap, (filled[s] / max(total * ratios[s], 1.0), filled[s], k, s))
-        upto = 0
-        for s in names:
-            bounds.append((n, upto, upto + got[s], s))
-            upto += got[s]
-    spark = rows.sparkSession
-    limits = spark.createDataFrame(pd.DataFrame(bounds, columns=["_n", "_from", "_to", "split"]), "_n long, _from long, _to long, split string") if bounds else spark.createDataFrame([], "_n long, _from long, _to long, split string")
-    place = F.row_number().over(Window.partitionBy("_n").orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)) - 1
-    of = sizes.withColumn("_place", place).join(F.broadcast(limits), "_n").filter((F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to"))).select(group, "split")
+        begin = 0
+        for s, k in fill(filled, room, n, g).items():
+            bounds.append((n, begin, begin + k, s))
+            begin += k
+            filled[s] += k * n
+    limits = rows.sparkSession.createDataFrame(bounds, "_n long, _from long, _to long, split string")
+    own = ranks.placed(sizes.withColumn("_h", F.xxhash64(F.col(group), F.lit(seed))), ["_n"], ["_h", group], settle)
+    of = own.join(F.broadcast(limits), "_n").filter((F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to"))).select(group, "split")  # a row for each size and split
     return rows.join(of, group)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def per_minute(n: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, F.round(n / seconds * 60, 4)).otherwise(0.0)
@@ -71,11 +73,10 @@ def type_stats(rows: DataFrame, kind: str, value: str) -> DataFrame:
     )
 
 
-def upper_median(rows: DataFrame, kind: str, value: str) -> DataFrame:
+def upper_median(rows: DataFrame, kind: str, value: str, settle=None) -> DataFrame:
     """The element at place n div 2 of each type's sorted values, by rank and not by collecting them."""
-    order = Window.partitionBy(kind).orderBy(value)
-    placed = rows.filter(F.col(value).isNotNull()).select(kind, value, F.row_number().over(order).alias("_p"), F.count("*").over(Window.partitionBy(kind)).alias("_n"))
-    return placed.filter(F.col("_p") == F.floor(F.col("_n") / 2) + 1).select(kind, F.col(value).alias("upper_median"))
+    own = ranks.placed(rows.filter(F.col(value).isNotNull()).select(kind, value), [kind], [value], settle)
+    return own.filter(F.col("_place") == F.floor(F.col("_size") / 2)).select(kind, F.col(value).alias("upper_median"))
 
 
 def threshold_sweep(rows: DataFrame, kind: str, score: str, thresholds: list[float]) -> DataFrame:

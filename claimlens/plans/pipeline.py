@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
 from ..operators import adapters, claims, dataset, edits, verify
@@ -27,11 +28,13 @@ class Settings:
     temperature: float = 0.4
     temperature_step: float = 0.15
     most_temperature: float = 0.85
+    #: Sentences of each article that are looked at; None: all.
+    max_sentences: int | None = S.MAX_SENTENCES
 
 
-def plans(articles: DataFrame, lexicon: Lexicon, planner: Callable[[DataFrame], DataFrame] = edits.heuristic_plan, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def plans(articles: DataFrame, lexicon: Lexicon, planner: Callable[[DataFrame], DataFrame] = edits.heuristic_plan, settle: Callable[[DataFrame], DataFrame] = lambda df: df, max_sentences: int | None = S.MAX_SENTENCES) -> tuple[DataFrame, DataFrame]:
     """(planned articles, failures): each article's first claim in rank order whose plan is valid and executable."""
-    found = claims.extract(articles, lexicon, "article_id", "text", F.col("headline"))
+    found = claims.extract(articles, lexicon, "article_id", "text", F.col("headline"), max_sentences=max_sentences)
     scored = claims.ranked(claims.score(found, lexicon), "article_id")
     proposed = planner(scored.drop("headline"))
     missing = F.when(F.length(T.strip(F.col("target_span"))) == 0, "plan_missing_target_span")
@@ -66,13 +69,13 @@ def run(
     """(samples, failures).  ``settle`` makes a stage durable (by default checkpoint())."""
     settle = settle or (lambda df: df.checkpoint())
     rewriter = rewriter or controlled(lexicon)
-    planned, failures = plans(articles, lexicon, planner, settle)
+    planned, failures = plans(articles, lexicon, planner, settle, settings.max_sentences)
     pending, accepted, last = settle(planned), None, None
     for attempt in range(1, settings.attempts + 1):
         heat = temperature(settings, attempt)
         edited = rewriter(pending, attempt, heat)
         spans = T.sentence_spans(F.coalesce("rewritten", F.lit("")), lexicon)
-        judged = edited.withColumn("_y", T.target_sentence(spans, F.col("idx")))
+        judged = settle(edited.withColumn("_y", T.target_sentence(spans, F.col("idx"))))  # models take plain columns, not expressions with nested lambdas
         judged = judged.withColumns({"nli": adapters.contradiction(nli, F.col("sentence"), F.col("_y")), "perplexity": adapters.perplexity(perplexity, F.coalesce("rewritten", F.lit("")))}).drop("_y")
         judged = settle(judged)  # models run once
         done = settle(verify.verify_pairs(judged, lexicon).withColumns({"attempt": F.lit(attempt), "temperature": F.lit(heat)}))

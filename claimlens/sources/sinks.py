@@ -69,15 +69,20 @@ def workbook_sheets(samples: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_workbook(samples: DataFrame, path: str, most: int = 10_000) -> None:
-    """An XLSX with one sheet each; for annotators, so at most ``most`` samples."""
+#: Rows that a sheet can hold, its header included.
+SHEET_ROWS = 1_048_576
+
+
+def write_workbook(samples: DataFrame, path: str) -> None:
+    """An XLSX with one sheet each, streamed row by row; more samples than a sheet can hold are an error, none is left out."""
     try:
         import openpyxl
     except ImportError as error:
         raise RuntimeError("openpyxl is needed to write workbooks") from error
-    book = openpyxl.Workbook()
-    book.remove(book.active)
-    for name, rows in workbook_sheets(samples.limit(most)).items():
+    if samples.count() >= SHEET_ROWS:
+        raise ValueError(f"a workbook holds fewer than {SHEET_ROWS} samples; write several")
+    book = openpyxl.Workbook(write_only=True)
+    for name, rows in workbook_sheets(samples).items():
         sheet = book.create_sheet(name)
         sheet.append(rows.columns)
         for r in rows.toLocalIterator():

@@ -61,7 +61,7 @@ def claims(lexicon: Lexicon) -> str:
         SELECT s.doc_id, idx, sentence, left(d.text, 60) AS headline, {hits("sentence", lexicon.entities)} AS entities, {numbers("sentence")} AS numbers,
                {hits("sentence", lexicon.policy)} AS policies, regexp_extract_all(sentence, '{lexicon.dates}') AS dates, len({words("sentence")}) AS n_words,
                {temporal} AS temporal, {financial} AS financial, {causal} AS causal
-        FROM s JOIN documents d ON s.doc_id = d.doc_id WHERE idx < 80 AND length(sentence) >= 18
+        FROM s JOIN documents d ON s.doc_id = d.doc_id WHERE length(sentence) >= 18
     ),
     g AS (
         SELECT *, len(entities) AS ne, len(numbers) AS nn, len(policies) AS np, len(dates) AS nd,
