@@ -40,10 +40,21 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch, unless the session says otherwise.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+DEFAULT_BYTES = str(64 << 20)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts do not pile up in one."""
+    """Bound Arrow batches by rows and by bytes, so that long texts do not pile up in one.
+
+    Both are settings of the session; where one isn't at Spark's default, it is
+    kept.  A single text longer than the bound is a batch of its own.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", DEFAULT_BYTES) in (DEFAULT_BYTES, "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
