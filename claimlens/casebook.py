@@ -16,7 +16,7 @@ from .functions import text as T
 from .functions.lexicon import BANGLA as B
 from .functions.lexicon import LATIN as L
 from .functions.salience import BANGLA_REWRITES, Rewrites
-from .operators import claims, edits, propositions, verify
+from .operators import adapters, claims, dedup, edits, propositions, verify
 
 #: Fragments that the test tables' invented prose holds, as cues and pairs.
 LATIN_REWRITES = Rewrites(
@@ -333,3 +333,50 @@ def bangla_controlled_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = T.sentence_spans(F.col("text"), B)
     rows = rows.withColumns({"idx": F.lit(0), "sentence": T.target_sentence(spans, F.lit(0)), "headline": F.lit("")})
     return edits.apply_plan(rows, B).select("article_id", "rewritten")
+
+
+# --- duplicates, constraints, model scores
+
+
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS r FROM v),
+    p AS (SELECT a.vec_id, max(list_inner_product(a.x, b.x) / (a.r * b.r)) AS seen FROM n a LEFT JOIN n b ON b.vec_id < a.vec_id GROUP BY a.vec_id)
+    SELECT vec_id, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - coalesce(seen, 0)) + 1e-9, 4) AS score, coalesce(seen, 0) < 0.4 AS passed, CASE WHEN coalesce(seen, 0) < 0.4 THEN 'passed' ELSE 'near_duplicate_in_corpus' END AS reason FROM p"""
+)
+def duplicate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = verify.duplicate(F.col("max_seen"), 0.4)
+    return dedup.earlier_similarity(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", v.alias("v")).select("vec_id", "v.score", "v.passed", "v.reason")
+
+
+@query(
+    f"""SELECT o_orderkey, 'target_sentence_index=' || (o_custkey % 9) || '|' || '{"|".join(f"{k}=true" for k in sorted(edits.FORCED))}' AS merged,
+    '{"|".join(f"{k}=true" for k in sorted(edits.SHOWN))}' AS shown, o_orderpriority AS own FROM orders"""
+)
+def plan_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's own constraint stays, its other index and its refusal of a forced one don't."""
+    given = F.create_map(F.lit("own"), F.col("o_orderpriority"), F.lit("target_sentence_index"), F.lit("77"), F.lit(edits.FORCED[1]), F.lit("false"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", edits.merged_constraints(given, F.col("o_custkey") % 9).alias("m"))
+    shown = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    index = F.map_filter("m", lambda k, v: k == "target_sentence_index")
+    rest = F.map_filter("m", lambda k, v: ~k.isin("own", "target_sentence_index"))
+    return rows.select("o_orderkey", F.concat(shown(index), F.lit("|"), shown(rest)).alias("merged"), shown(edits.compact_constraints(F.col("m"))).alias("shown"), F.col("m")["own"].alias("own"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), r AS (SELECT *, length(text)::DOUBLE / nullif(length(before), 0) AS ratio FROM t WHERE before IS NOT NULL)
+    SELECT conv_id, turn, CASE WHEN ratio BETWEEN 0.6 AND 1.4 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN ratio BETWEEN 0.6 AND 1.4 THEN 'passed' ELSE 'length_ratio_out_of_range' END AS reason FROM r"""
+)
+def length_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .catalog import _turns
+
+    v = verify.length_ratio(F.col("before"), F.col("text"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.score", "v.reason")
+
+
+@query("SELECT event_id, round(exp(least(20.0::DOUBLE, value / 10.0)), 6) AS perplexity, round(1 + 300 * (value / 1000.0::DOUBLE), 6) AS quality, round(exp(value / 100.0) / (exp(value / 100.0) + 1), 6) AS first FROM events WHERE value IS NOT NULL")
+def model_score_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    first = F.get(adapters.softmax(F.array(v / 100.0, F.lit(0.0))), F.lit(0))
+    return table(spark, sf_dir, "events").filter("value IS NOT NULL").select(
+        "event_id", F.round(adapters.perplexity_from_loss(v / 10.0), 6).alias("perplexity"), F.round(adapters.quality_from_fakes(v / 1000.0), 6).alias("quality"), F.round(first, 6).alias("first")
+    )

@@ -359,3 +359,8 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.when(norm > 0, dot(a, b) / norm).otherwise(0.0))
+
+
+def utc_timestamp() -> Column:
+    """Now, as ISO 8601 text in UTC; the same for all rows of a query."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

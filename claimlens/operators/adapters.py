@@ -19,14 +19,38 @@ from pyspark.sql import types as ST
 Factory = Callable[[], Callable]
 
 
-def embed(factory: Factory, texts: Column) -> Column:
-    """list[str] -> vectors."""
+def perplexity_from_loss(loss: Column) -> Column:
+    """exp of a language model's mean loss, which counts as 20 at most."""
+    return F.exp(F.least(F.lit(20.0), loss))
+
+
+def quality_from_fakes(mean_fake: Column) -> Column:
+    """A discriminator's mean probability that a token is fake, on the scale of perplexities."""
+    return 1.0 + 300.0 * mean_fake
+
+
+def contradiction_index(labels: list[str]) -> int:
+    """Which of a classifier's labels means contradiction: the one that says so, else the first."""
+    return next((k for k, name in enumerate(labels) if "contradict" in name.lower()), 0)
+
+
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits."""
+    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+
+
+def embed(factory: Factory, texts: Column, prefix: str = "", normalize: bool = False) -> Column:
+    """list[str] -> vectors; each text gets the prefix, and each vector unit length if asked for."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for s in batches:
-            yield pd.Series([list(map(float, v)) for v in model(s.fillna("").tolist())])
+            vectors = [list(map(float, v)) for v in model([prefix + t for t in s.fillna("").tolist()])]
+            if normalize:
+                vectors = [[x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for v in vectors]
+            yield pd.Series(vectors)
 
     return run(texts)
 

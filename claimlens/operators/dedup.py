@@ -45,6 +45,30 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
     return dealt.groupBy("p", "q").applyInPandas(near, "left_id long, right_id long, similarity double")
 
 
+def earlier_similarity(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(key, max_seen): each row's highest cosine to any row with a smaller key; null for the first.
+
+    Blocks meet as in ``similar_pairs``; a task sends one row for each of its
+    rows, not one for each pair.
+    """
+    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n = max(1, -(-rows.count() // block))
+    own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "id", "v")
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, x = rows["id"].to_numpy(), _unit(rows, "v")
+        out = np.full(len(ids), -np.inf)
+        for k in range(0, len(ids), 1024):
+            s = x[k : k + 1024] @ x.T
+            out[k : k + 1024] = np.where(ids[None, :] < ids[k : k + 1024, None], s, -np.inf).max(1)
+        some = np.isfinite(out)
+        return pd.DataFrame({"id": ids[some], "s": out[some]})
+
+    found = dealt.groupBy("p", "q").applyInPandas(near, "id long, s double").groupBy("id").agg(F.max("s").alias("max_seen"))
+    return rows.select("id").join(found, "id", "left").select(F.col("id").alias(key), "max_seen")
+
+
 def max_similarity(pairs: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
     """Highest similarity of each id to any other among the pairs; 0 without one."""
     both = pairs.select(F.col("left_id").alias(key), "similarity").union(pairs.select(F.col("right_id").alias(key), "similarity"))

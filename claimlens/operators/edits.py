@@ -133,3 +133,20 @@ def format_like(original: Column, value: Column) -> Column:
     plain = F.when(decimal, F.format_string("%.1f", value)).otherwise(F.format_string("%d", F.round(value).cast("long")))
     written = F.when(original.rlike("[০-৯]"), T.bangla_digits(plain)).otherwise(plain)
     return F.concat(written, F.when(original.contains("%"), "%").otherwise(""))
+
+
+# Constraints that every plan carries, and those that a prompt shows.
+FORCED = ("preserve_all_other_sentences", "preserve_unrelated_facts", "forbid_new_entities_outside_target", "forbid_new_numbers_outside_target", "forbid_new_dates_outside_target")
+SHOWN = ("preserve_all_other_sentences", "forbid_new_entities_outside_target", "forbid_new_numbers_outside_target", "forbid_new_dates_outside_target")
+
+
+def merged_constraints(given: Column, index: Column) -> Column:
+    """A plan's constraints, a map of strings; the forced ones and the target's index win over the model's."""
+    forced = F.create_map(F.lit("target_sentence_index"), index.cast("string"), *[x for k in FORCED for x in (F.lit(k), F.lit("true"))])
+    own = F.coalesce(given, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(own, lambda k, v: ~k.isin("target_sentence_index", *FORCED)), forced)
+
+
+def compact_constraints(constraints: Column) -> Column:
+    """The constraints that a prompt shows."""
+    return F.map_filter(constraints, lambda k, v: k.isin(*SHOWN))

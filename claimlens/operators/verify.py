@@ -197,6 +197,19 @@ def intended_change(original: Column, edited: Column, family: Column, target: Co
     return verdict("intended_change", found["score"], found["reason"] == "passed", found["reason"])
 
 
+def duplicate(max_seen: Column, most: float = 0.985) -> Column:
+    """By the highest similarity to any earlier accepted text (``dedup.earlier_similarity``); 0 if there is none."""
+    seen = F.coalesce(max_seen, F.lit(0.0))
+    score = F.greatest(F.lit(0.0), 1.0 - seen)
+    return verdict("duplicate_detection", score, seen < most, F.lit("near_duplicate_in_corpus"), F.to_json(F.struct(S.rounded(seen).alias("max_seen_similarity"))))
+
+
+def length_ratio(original: Column, edited: Column, least: float = 0.6, most: float = 1.4) -> Column:
+    """What stands in for the battery where no verifier could be built."""
+    ratio = S.length_ratio(original, edited)
+    return verdict("length_ratio", F.when(ratio.between(least, most), 1.0).otherwise(0.0), ratio.between(least, most), F.lit("length_ratio_out_of_range"))
+
+
 def battery(results: list[Column]) -> Column:
     """struct<passed, results, scores, reasons>: all verifiers' results; nothing is cut short."""
     every = F.array(*[r.cast(RESULT) for r in results])
@@ -211,7 +224,8 @@ def battery(results: list[Column]) -> Column:
 def verify_pairs(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Adds ``report`` to rows with text, rewritten, headline, idx, family, target_span, replacement, nli, perplexity.
 
-    Embedding columns ``vector`` and ``rewritten_vector`` are judged too if they are there.
+    Embedding columns ``vector`` and ``rewritten_vector``, and ``max_seen``, the highest
+    similarity to earlier accepted texts, are judged too if they are there.
     """
     rows = pairs.withColumns({"_a": T.sentence_spans(F.col("text"), lexicon), "_b": T.sentence_spans(F.coalesce("rewritten", F.lit("")), lexicon)})
     i, f, t, r = (F.col(c) for c in ("idx", "family", "target_span", "replacement"))
@@ -231,4 +245,6 @@ def verify_pairs(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
     ]
     if "vector" in pairs.columns and "rewritten_vector" in pairs.columns:
         results.append(semantic_similarity(F.col("vector"), F.col("rewritten_vector")))
+    if "max_seen" in pairs.columns:
+        results.append(duplicate(F.col("max_seen")))
     return rows.withColumn("report", battery(results)).drop("_a", "_b", "_x", "_y", *(f"_{k}" for k in found))

@@ -18,6 +18,10 @@ from ..functions import text as T
 from ..functions.lexicon import Lexicon
 from ..operators import adapters, claims, dataset, edits, verify
 
+# How reasons begin that another temperature can't mend, and those that it may.
+DETERMINISTIC = ("intended_change", "locality", "text_quality", "journalistic_style", "hallucination", "new_facts")
+BY_MODEL = ("embedding", "nli", "perplexity", "duplicate")
+
 Rewriter = Callable[[DataFrame, int, float], DataFrame]
 
 
@@ -51,6 +55,13 @@ def temperature(settings: Settings, attempt: int) -> float:
     return min(settings.temperature + settings.temperature_step * (attempt - 1), settings.most_temperature)
 
 
+def rolls_back(failed: DataFrame) -> bool:
+    """Whether only rules failed the pairs, no model: then the next attempt keeps the temperature of this one."""
+    begins = lambda names: F.coalesce(F.max(F.col("r").rlike("^(?:" + "|".join(names) + ")")), F.lit(False))
+    found = failed.select(F.explode("report.reasons").alias("r")).agg(begins(DETERMINISTIC).alias("rules"), begins(BY_MODEL).alias("models")).first()
+    return found["rules"] and not found["models"]
+
+
 def controlled(lexicon: Lexicon) -> Rewriter:
     """Edits that a plan spells out in full need no model."""
     return lambda rows, attempt, heat: edits.apply_plan(rows, lexicon)
@@ -72,7 +83,7 @@ def run(
     planned, failures = plans(articles, lexicon, planner, settle, settings.max_sentences)
     pending, accepted, last = settle(planned), None, None
     for attempt in range(1, settings.attempts + 1):
-        heat = temperature(settings, attempt)
+        heat = temperature(settings, attempt - 1 if attempt > 1 and rolls_back(last) else attempt)
         edited = rewriter(pending, attempt, heat)
         spans = T.sentence_spans(F.coalesce("rewritten", F.lit("")), lexicon)
         judged = settle(edited.withColumn("_y", T.target_sentence(spans, F.col("idx"))))  # models take plain columns, not expressions with nested lambdas

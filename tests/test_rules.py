@@ -131,3 +131,37 @@ def test_registry_and_command_line(capsys):
         registry.build({"nli": {"backend": "other"}})
     assert cli.main(["list"]) == 0 and "sentence_spans" in capsys.readouterr().out
     assert cli.main(["run", "no such query", "x"]) == 2
+
+
+def test_temperature_rolls_back_for_rules_only(spark):
+    from claimlens.plans import pipeline
+
+    failed = lambda *reasons: spark.createDataFrame([((list(r),),) for r in reasons], "report struct<reasons:array<string>>")
+    assert pipeline.rolls_back(failed(["locality_broken"], ["new_facts_outside_target"]))
+    assert not pipeline.rolls_back(failed(["locality_broken"], ["perplexity_above_threshold"]))
+    assert not pipeline.rolls_back(failed(["numeric_value_unchanged"]))
+    assert not pipeline.rolls_back(failed())
+
+
+def test_earlier_similarity_in_blocks(spark):
+    import numpy as np
+    from claimlens.operators import dedup
+
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    rows = [(int(i), [float(v) for v in row]) for i, row in enumerate(x)] + [(None, [1.0] * 4), (70, None)]
+    got = {r.vec_id: r.max_seen for r in dedup.earlier_similarity(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(got) == set(range(60)) and got[0] is None
+    assert all(np.isclose(got[i], (u[:i] @ u[i]).max()) for i in range(1, 60))
+
+
+def test_embeddings_with_prefix_and_unit_length(spark):
+    from claimlens.operators import adapters
+
+    rows = spark.createDataFrame([("ab",), (None,)], "t string").select(adapters.embed(adapters.fake_embedder, F.col("t"), prefix="query: ", normalize=True).alias("v")).collect()
+    assert all(abs(sum(x * x for x in r.v) - 1) < 1e-5 for r in rows)
+    assert adapters.contradiction_index(["entailment", "Contradiction"]) == 1 and adapters.contradiction_index(["a", "b"]) == 0
+
+
+def test_timestamp_is_utc(spark):
+    assert spark.range(1).select(T.utc_timestamp().alias("t")).first().t.endswith("+00:00")
