@@ -80,7 +80,11 @@ def perplexity(factory: Factory, texts: Column) -> Column:
 
 
 def generate(factory: Factory, prompts: Column, temperature: Column, seed: Column) -> Column:
-    """(prompts, temperatures, seeds) -> texts; a row whose call fails gives null, others are not lost with it."""
+    """(prompts, temperatures, seeds) -> texts; a row whose call fails gives null, others are not lost with it.
+
+    A batch of several rows of which every one fails is an error: then the
+    model is at fault, not the rows.
+    """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -89,14 +93,19 @@ def generate(factory: Factory, prompts: Column, temperature: Column, seed: Colum
         def batch(p, t, s):
             try:
                 return list(model(p, t, s))
-            except Exception:
+            except Exception as error:
                 if len(p) == 1:
+                    failed.append(error)
                     return [None]
                 h = len(p) // 2  # halve until the failing row stands alone
                 return batch(p[:h], t[:h], s[:h]) + batch(p[h:], t[h:], s[h:])
 
         for p, t, s in batches:
-            yield pd.Series(batch(p.tolist(), t.tolist(), s.tolist()))
+            failed: list[Exception] = []
+            out = batch(p.tolist(), t.tolist(), s.tolist())
+            if len(failed) == len(p) > 1:
+                raise failed[0]
+            yield pd.Series(out)
 
     return run(prompts, temperature, seed)
 

@@ -165,3 +165,17 @@ def test_embeddings_with_prefix_and_unit_length(spark):
 
 def test_timestamp_is_utc(spark):
     assert spark.range(1).select(T.utc_timestamp().alias("t")).first().t.endswith("+00:00")
+
+
+def test_a_dead_model_is_an_error(spark):
+    from claimlens.operators import adapters
+
+    def factory():
+        def run(prompts, temperatures, seeds):
+            raise RuntimeError("dead")
+
+        return run
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "p string").coalesce(1)
+    with pytest.raises(Exception, match="dead"):
+        rows.select(adapters.generate(factory, F.col("p"), F.lit(0.1), F.lit(1)).alias("t")).collect()
