@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import Scan, mix
-from .common import fold, slices, small_batches, text_of
+from .common import fold, slices, small_batches, stage_table, text_of
 
 #: The field is fitted on at most so many labelled documents, those with the smallest hash of doc_id.
-FIT_DOCS = 4_000
+FIT_DOCS, FIT_LINES = 4_000, 400_000
 #: Rows whose crc32(doc_id) modulo FOLDS is 0 are held out.
 FOLDS = 5
 GOOD_FROM = 0.3
@@ -167,7 +167,13 @@ def _training_rows(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Field:
-    """Fit on at most FIT_DOCS labelled documents that are not held out; without any, every score is 0.5."""
+    """Fit on at most FIT_DOCS labelled documents that are not held out, and at most FIT_LINES lines of them; without any, every score is 0.5.
+
+    Documents are taken by the smallest hash of their key.  Of label rows that
+    contradict each other, a good one counts; of rows that repeat a key, one
+    text, by the smallest hash of its features; null keys and labels are no
+    labels.
+    """
     small_batches(docs.sparkSession)
     chosen = (
         labels.filter(F.col("quality").isin(0, 1) & (fold(key, FOLDS) != 0))
@@ -176,13 +182,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         .orderBy(F.xxhash64("_key"), "_key")
         .limit(FIT_DOCS)
     )
-    rows = (
+    found = (
         docs.select(F.col(key).cast("string").alias("_key"), text_of(text).alias("_text"))
         .join(F.broadcast(chosen), "_key")
         .mapInArrow(_training_rows, "key string, label int, n long, x binary")
-        .toPandas()  # bounded by FIT_DOCS
-        .sort_values(["key", "x"])
+        .groupBy("key")
+        .agg(F.min_by(F.struct("label", "n", "x"), F.struct(F.xxhash64("x"), F.col("n"))).alias("r"))
+        .select("key", "r.label", "r.n", "r.x")
     )
+    found = stage_table(found, "crf-training")
+    sizes = found.select("key", "n").orderBy(F.xxhash64("key"), "key").collect()  # FIT_DOCS at most
+    lines = np.cumsum([r.n for r in sizes])
+    within = [r.key for k, r in enumerate(sizes) if not k or lines[k] <= FIT_LINES]
+    rows = found.filter(F.col("key").isin(within)).toPandas().sort_values(["key", "x"])  # FIT_LINES lines at most, or one document
     width = 3 * OWN + 2
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, width)
     lengths = rows["n"].to_numpy(np.int64)
@@ -220,7 +232,12 @@ def score(docs: DataFrame, field: Field, text: str = "text", key: str = "doc_id"
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the field predicts to be good, with all their columns."""
+    """The documents that the field predicts to be good, with all their columns.
+
+    docs has the columns doc_id and text.  A null text counts as empty; rows
+    that repeat stay or go together; columns may have any other names; an
+    empty table gives an empty table, and without labels all documents stay.
+    """
     field = fit(docs, labels)
     at = docs.columns.index("text")
 

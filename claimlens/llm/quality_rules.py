@@ -203,7 +203,12 @@ def rate(docs: DataFrame, ratio: np.ndarray, text: str = "text", key: str = "doc
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that pass, with all their columns, in one pass after fitting."""
+    """The documents that pass, with all their columns, in one pass after fitting.
+
+    docs has the columns doc_id and text.  A null text counts as empty and goes,
+    as all texts under MIN_WORDS words do; rows that repeat stay or go together;
+    columns may have any other names; an empty table gives an empty table.
+    """
     ratio = fit(docs, labels)
     score = _scorer(ratio, threshold)
     names = docs.columns
