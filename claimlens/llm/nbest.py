@@ -234,6 +234,11 @@ class _Words(dict):
         return got
 
 
+def between(shared: list[bytes], own: list[bytes]) -> bytes:
+    """shared[0], own[0], shared[1], ... end to end."""
+    return b"".join([x for two in zip(shared, [*own, b""], strict=True) for x in two])
+
+
 class Encoder:
     """N-best scores of texts and the ids of the best segmentation."""
 
@@ -276,6 +281,26 @@ class Encoder:
         base = score - sum(p[0][0] for p in parts), count - sum(z[0] for z in sizes)
         return [(base[0] + s, base[1] + sum(z[k] for z, k in zip(sizes, picks, strict=True))) for s, picks in combine(parts, self.n)], raw
 
+    def parts(self, text: str) -> tuple[list[bytes], list[tuple[float, list[bytes]]]]:
+        """Ids, as 32-bit numbers, that the n best share, and (score, ids between those) of each; see ``between``."""
+        if not text:
+            return [b""], [(0.0, [])]
+        words, known = self._words(text)
+        number = list(map(known.__getitem__, words))
+        raw = list(map(known.raw.__getitem__, number))
+        at = np.array(number)
+        near = self._near(words, known, at)
+        parts = [known.choices(words[i]) for i in near]
+        shared = [b"".join(raw[a:b]) for a, b in zip([0, *(i + 1 for i in near)], [*near, len(raw)], strict=True)]
+        own = [[array("I", piece_ids(p, self.vocab)).tobytes() for _, p in part] for part in parts]
+        base = float(np.frombuffer(known.best)[at].sum()) - sum(p[0][0] for p in parts)
+        return shared, [(base + s, [c[k] for c, k in zip(own, picks, strict=True)]) for s, picks in combine(parts, self.n)]
+
+    def best_ids(self, text: str) -> list[tuple[float, bytes]]:
+        """(score, ids as 32-bit numbers) of the text's n best."""
+        shared, found = self.parts(text)
+        return [(s, between(shared, own)) for s, own in found]
+
     def segmentations(self, text: str) -> list[tuple[float, list[str]]]:
         """(score, pieces) of the text's n best."""
         if not text:
@@ -309,7 +334,7 @@ def _piece_bytes(path: str) -> list[bytes]:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", n: int = BEST) -> DataFrame:
-    """key, scores and pieces of the n best segmentations, and ids of the best, for every row.
+    """key, scores, pieces and ids (nbest_ids) of the n best segmentations, and ids of the best, for every row.
 
     Null and empty texts have one segmentation without pieces.  Every input
     row, repeated ones too, gives one row; other columns are ignored.
@@ -324,14 +349,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
                 part = batch.slice(start, 64)
                 texts = part.column(1).to_pylist()
                 got = [encoder.segmentations(t) for t in texts]
-                ids = [np.frombuffer(encoder.encode(t)[1], np.uint32).tolist() for t in texts]
+                ids = [[np.frombuffer(raw, np.uint32).tolist() for _, raw in encoder.best_ids(t)] for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([[s for s, _ in g] for g in got], pa.list_(pa.float64())), pa.array([[p for _, p in g] for g in got], pa.list_(pa.list_(pa.string()))), pa.array(ids, pa.list_(pa.int32()))],
-                    ["key", "scores", "pieces", "ids"],
+                    [part.column(0), pa.array([[s for s, _ in g] for g in got], pa.list_(pa.float64())), pa.array([[p for _, p in g] for g in got], pa.list_(pa.list_(pa.string()))), pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.list_(pa.int32())))],
+                    ["key", "scores", "pieces", "ids", "nbest_ids"],
                 )
 
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("_text"))
-    return rows.mapInArrow(run, f"key {kind}, scores array<double>, pieces array<array<string>>, ids array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, scores array<double>, pieces array<array<string>>, ids array<int>, nbest_ids array<array<int>>").withColumnRenamed("key", key)
 
 
 def decode_ids(encoded: DataFrame, model: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -349,8 +374,9 @@ def decode_ids(encoded: DataFrame, model: str, ids: str = "ids", key: str = "doc
 
 
 def nbest(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", n: int = BEST) -> DataFrame:
-    """key, n_pieces and ids_crc32 of the best segmentation, decodes (whether its ids decode to the text), scores and piece counts of the n best.
+    """key, n_pieces and ids_crc32 of the best segmentation; scores, piece counts and ids_crc32 (nbest_crc32) of the n best; decodes.
 
+    decodes: whether the ids of each of the n best decode to the text.
     ids_crc32: over little-endian unsigned 32-bit ids.  Null and empty texts
     have no piece and the one score 0.  Every input row, repeated ones too,
     gives one row; other columns are ignored.  A model that normalises texts
@@ -362,22 +388,33 @@ def nbest(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
     def run(batches):
         encoder = worker_encoder(model, n)
         text_piece = _piece_bytes(model)
+
+        def decode_raw(ids: bytes) -> bytes:
+            return b"".join(map(text_piece.__getitem__, array("I", ids)))
+
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            got = [encoder.encode(t) for t in texts]
-            ids = [np.frombuffer(raw, np.uint32) for _, raw in got]
-            back = [b"".join(map(text_piece.__getitem__, i.tolist()))[1:] == t.replace(SPACE, " ").encode() for i, t in zip(ids, texts, strict=True)]
+            scores, counts, crcs, back = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                shared, found = encoder.parts(text)
+                ids = [between(shared, own) for _, own in found]
+                scores.append([s for s, _ in found])
+                counts.append([len(i) // 4 for i in ids])
+                crcs.append([zlib.crc32(i) for i in ids])
+                form, decoded = text.replace(SPACE, " ").encode(), list(map(decode_raw, shared))  # what the n best share, once
+                back.append(all(between(decoded, list(map(decode_raw, own)))[1:] == form for _, own in found))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([zlib.crc32(raw) for _, raw in got], pa.int64()),
-                    pa.array(back),
-                    pa.array([[s for s, _ in top] for top, _ in got], pa.list_(pa.float64())),
-                    pa.array([[k for _, k in top] for top, _ in got], pa.list_(pa.int64())),
+                    pa.array([c[0] for c in counts], pa.int64()),
+                    pa.array([c[0] for c in crcs], pa.int64()),
+                    pa.array(back, pa.bool_()),
+                    pa.array(scores, pa.list_(pa.float64())),
+                    pa.array(counts, pa.list_(pa.int64())),
+                    pa.array(crcs, pa.list_(pa.int64())),
                 ],
-                ["key", "n_pieces", "ids_crc32", "decodes", "scores", "piece_counts"],
+                ["key", "n_pieces", "ids_crc32", "decodes", "scores", "piece_counts", "nbest_crc32"],
             )
 
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("_text"))
-    return rows.mapInArrow(run, f"key {kind}, n_pieces long, ids_crc32 long, decodes boolean, scores array<double>, piece_counts array<long>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, n_pieces long, ids_crc32 long, decodes boolean, scores array<double>, piece_counts array<long>, nbest_crc32 array<long>").withColumnRenamed("key", key)

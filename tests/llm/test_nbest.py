@@ -2,6 +2,7 @@
 
 import random
 import time
+import zlib
 
 import numpy as np
 from claimlens.llm import nbest, pieces
@@ -71,3 +72,19 @@ def test_segmentations_and_decoded_texts(spark):
         assert all("".join(p) == "".join(r.pieces[0]) for p in r.pieces)
     back = nbest.decode_ids(nbest.encode(docs, PATH), PATH).collect()
     assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, t or "") for i, t in texts)
+
+
+def test_query_encodes_and_decodes_every_segmentation(spark):
+    texts = [(1, "the then  a☃ in"), (2, None), (3, ""), (4, "x, y."), (5, "therein the rain, then another one"), (6, "▁a  é一")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    encoder = nbest.Encoder(PATH)
+    rows = {r.doc_id: r for r in nbest.nbest(docs, PATH).collect()}
+    whole = {r.doc_id: r for r in nbest.encode(docs, PATH).collect()}
+    for i, text in texts:
+        found = encoder.segmentations(text or "")
+        ids = [nbest.piece_ids(p, encoder.vocab) for _, p in found]
+        assert np.allclose(rows[i].scores, [s for s, _ in found])
+        assert rows[i].nbest_crc32 == [zlib.crc32(np.array(k, "<u4").tobytes()) for k in ids]
+        assert rows[i].piece_counts == list(map(len, ids)) and rows[i].ids_crc32 == rows[i].nbest_crc32[0]
+        assert whole[i].nbest_ids == ids and whole[i].ids == ids[0]
+        assert rows[i].decodes and {nbest.decode(k, encoder.vocab) for k in ids} == {(text or "").replace("▁", " ")}
