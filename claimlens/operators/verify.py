@@ -45,12 +45,12 @@ def verdict(name: str, score: Column, passed: Column, reason: Column, details: C
     )
 
 
-def locality(original: Column, edited: Column, index: Column, family: Column, target: Column, replacement: Column) -> Column:
+def locality(original: Column, edited: Column, index: Column, family: Column, target: Column, replacement: Column, changed: Column | None = None) -> Column:
     """Only the target sentence may change; linked mentions may too if an entity was replaced in them and nothing else.
 
     original, edited: span arrays.
     """
-    changed = T.changed_indices(original, edited)
+    changed = T.changed_indices(original, edited) if changed is None else changed
     others = F.filter(changed, lambda i: i != index)
     t, r = T.strip(target), T.strip(replacement)
     literal = F.forall(changed, lambda i: F.replace(F.get(original, i)["text"], t, r) == F.get(edited, i)["text"])
@@ -133,9 +133,9 @@ def new_items(original: Column, edited: Column, lexicon: Lexicon) -> Column:
     return F.struct(fresh(lambda c: T.entities(c, lexicon)).alias("entities"), fresh(T.numbers).alias("numbers"), fresh(lambda c: T.dates(c, lexicon)).alias("dates"))
 
 
-def hallucination(original: Column, edited: Column, family: Column, target: Column, replacement: Column, lexicon: Lexicon) -> Column:
+def hallucination(original: Column, edited: Column, family: Column, target: Column, replacement: Column, lexicon: Lexicon, items: Column | None = None) -> Column:
     """original, edited: the texts outside the target sentence.  Entities weigh twice, as entities and as organisations."""
-    items = new_items(original, edited, lexicon)
+    items = new_items(original, edited, lexicon) if items is None else items
     t, r = target, replacement
     own = lambda e: F.contains(r, e) | F.contains(e, r) | F.contains(t, e) | F.contains(e, t)
     names = F.when((family == "entity_replacement") & (r != ""), F.filter(items["entities"], lambda e: ~own(e))).otherwise(items["entities"])
@@ -212,7 +212,11 @@ def length_ratio(original: Column, edited: Column, least: float = 0.6, most: flo
 
 def battery(results: list[Column]) -> Column:
     """struct<passed, results, scores, reasons>: all verifiers' results; nothing is cut short."""
-    every = F.array(*[r.cast(RESULT) for r in results])
+    return report(F.array(*[r.cast(RESULT) for r in results]))
+
+
+def report(every: Column) -> Column:
+    """The battery's struct of an array of results."""
     return F.struct(
         F.forall(every, lambda r: r["passed"]).alias("passed"),
         every.alias("results"),
@@ -229,22 +233,24 @@ def verify_pairs(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """
     rows = pairs.withColumns({"_a": T.sentence_spans(F.col("text"), lexicon), "_b": T.sentence_spans(F.coalesce("rewritten", F.lit("")), lexicon)})
     i, f, t, r = (F.col(c) for c in ("idx", "family", "target_span", "replacement"))
-    rows = rows.withColumns({"_x": T.target_sentence(F.col("_a"), i), "_y": T.target_sentence(F.col("_b"), i)})
+    # what several rules ask about is a projection of its own: an expression would be evaluated at every place that names it
+    rows = rows.withColumns({"_x": T.target_sentence(F.col("_a"), i), "_y": T.target_sentence(F.col("_b"), i), "_ra": outside(F.col("_a"), i), "_rb": outside(F.col("_b"), i), "_changed": T.changed_indices(F.col("_a"), F.col("_b"))})
     x, y = F.col("_x"), F.col("_y")
     found = pair_facts(x, y, t, r, lexicon)
-    rows = rows.withColumns({f"_{k}": c for k, c in found.items()})
+    rows = rows.withColumns({**{f"_{k}": c for k, c in found.items()}, "_items": new_items(F.col("_ra"), F.col("_rb"), lexicon)})
     facts = {k: F.col(f"_{k}") for k in found}
     results = [
         intended_change(x, y, f, t, r, lexicon, facts),
-        locality(F.col("_a"), F.col("_b"), i, f, t, r),
+        locality(F.col("_a"), F.col("_b"), i, f, t, r, F.col("_changed")),
         text_artifacts(x, y, F.col("rewritten"), f, lexicon),
         contradiction(y, f, t, r, lexicon, F.col("nli"), facts=facts),
         fluency(F.col("perplexity")),
         style(F.col("text"), F.col("rewritten"), F.col("headline"), lexicon),
-        hallucination(outside(F.col("_a"), i), outside(F.col("_b"), i), f, t, r, lexicon),
+        hallucination(F.col("_ra"), F.col("_rb"), f, t, r, lexicon, F.col("_items")),
     ]
     if "vector" in pairs.columns and "rewritten_vector" in pairs.columns:
         results.append(semantic_similarity(F.col("vector"), F.col("rewritten_vector")))
     if "max_seen" in pairs.columns:
         results.append(duplicate(F.col("max_seen")))
-    return rows.withColumn("report", battery(results)).drop("_a", "_b", "_x", "_y", *(f"_{k}" for k in found))
+    rows = rows.withColumn("_every", F.array(*[x.cast(RESULT) for x in results])).withColumn("report", report(F.col("_every")))
+    return rows.drop("_a", "_b", "_x", "_y", "_ra", "_rb", "_changed", "_items", "_every", *(f"_{k}" for k in found))

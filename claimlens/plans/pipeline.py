@@ -79,10 +79,11 @@ def run(
 ) -> tuple[DataFrame, DataFrame]:
     """(samples, failures).  ``settle`` makes a stage durable (by default checkpoint())."""
     settle = settle or (lambda df: df.checkpoint())
+    attempts = settings.attempts if rewriter else 1  # a controlled edit is the same at each attempt, and so are its verdicts
     rewriter = rewriter or controlled(lexicon)
     planned, failures = plans(articles, lexicon, planner, settle, settings.max_sentences)
     pending, accepted, last = settle(planned), None, None
-    for attempt in range(1, settings.attempts + 1):
+    for attempt in range(1, attempts + 1):
         heat = temperature(settings, attempt - 1 if attempt > 1 and rolls_back(last) else attempt)
         edited = rewriter(pending, attempt, heat)
         spans = T.sentence_spans(F.coalesce("rewritten", F.lit("")), lexicon)
@@ -93,7 +94,7 @@ def run(
         ok = done.filter("edit_error IS NULL AND report.passed")
         accepted = ok if accepted is None else accepted.unionByName(ok)
         last = done.filter("NOT (edit_error IS NULL AND report.passed)")
-        if attempt == settings.attempts or last.isEmpty():
+        if attempt == attempts or last.isEmpty():
             break
         pending = last.select(*pending.columns)
     samples = accepted.withColumns(

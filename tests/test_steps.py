@@ -7,7 +7,8 @@ from claimlens.casebook import LATIN_REWRITES
 from claimlens.functions import scoring as S
 from claimlens.functions import text as T
 from claimlens.functions.lexicon import LATIN as L
-from claimlens.operators import claims, propositions
+from claimlens.operators import claims, edits, propositions
+from claimlens.plans import pipeline
 from pyspark.sql import functions as F
 
 
@@ -57,3 +58,11 @@ def test_bigrams_in_one_pass(spark):
     for r in got.collect():
         assert r.g is None if r.text is None else r.g == list(dict.fromkeys(r.text[i : i + 2] for i in range(len(r.text) - 1)))
     assert "substring" not in plan(got)
+
+
+def test_controlled_edits_are_judged_once(spark):
+    steps = []
+    planner = lambda rows: edits.heuristic_plan(rows).withColumn("replacement", F.lit("with 950000000 items"))
+    docs = texts(spark).select(F.col("doc_id").cast("string").alias("article_id"), F.lit("").alias("headline"), "text")
+    pipeline.run(docs, L, planner, settle=lambda df: steps.append(1) or df.localCheckpoint())
+    assert len(steps) == 6  # three to plan, three to judge; each further attempt took three more
